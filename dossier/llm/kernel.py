@@ -82,16 +82,12 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end of every word, and for each row the number of its first word (with the total at the end)."""
-    start, end = word_spans(data, at)
-    if lower:
-        data = LOWER[data]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the ordered, disjoint byte spans."""
     out = np.empty(len(start), np.uint64)
     row = 0
     while row < len(start):
-        stop = int(np.searchsorted(end, start[row] + BLOCK, "right"))
-        stop = max(stop, row + 1)
+        stop = max(int(np.searchsorted(end, start[row] + BLOCK, "right")), row + 1)
         lo, hi = int(start[row]), int(end[stop - 1])
         power, inverse = _powers(hi - lo + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
@@ -99,7 +95,13 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[
         s, e = start[row:stop] - lo, end[row:stop] - lo
         out[row:stop] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * U(0x2545F4914F6CDD1D))
         row = stop
-    return out, start, end, np.searchsorted(start, at, "left")
+    return out
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and end of every word, and for each row the number of its first word (with the total at the end)."""
+    start, end = word_spans(data, at)
+    return span_hashes(LOWER[data] if lower else data, start, end), start, end, np.searchsorted(start, at, "left")
 
 
 #: One multiplier for each place in a shingle.

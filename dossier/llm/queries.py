@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.bpe import op3_bpe_round_trip
+from dossier.llm.jpeg import op7_baseline_jpeg
+from dossier.llm.quality import op5_quality_rules
 from dossier.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_baseline_jpeg": op7_baseline_jpeg,
 }
 
 ORACLES: dict[str, str] = {}
