@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.bpe import op3_bpe_round_trip
 from dossier.llm.jpeg import op7_baseline_jpeg
+from dossier.llm import mixing
+from dossier.llm.mixing import op1_mix_sources
 from dossier.llm.quality import op5_quality_rules
+from dossier.llm.sharding import op8_minimax_shards
 from dossier.llm.token_counts import op2_token_counts
 from dossier.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
     "op7_baseline_jpeg": op7_baseline_jpeg,
+    "op8_minimax_shards": op8_minimax_shards,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL}
