@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.bpe import op3_bpe_round_trip
 from dossier.llm.jpeg import op7_baseline_jpeg
-from dossier.llm import mixing
+from dossier.llm import licenses, mixing
+from dossier.llm.licenses import op10_license_digests
 from dossier.llm.mixing import op1_mix_sources
 from dossier.llm.quality import op5_quality_rules
 from dossier.llm.sharding import op8_minimax_shards
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_baseline_jpeg": op7_baseline_jpeg,
     "op8_minimax_shards": op8_minimax_shards,
     "op9_toxicity": op9_toxicity,
+    "op10_license_digests": op10_license_digests,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op10_license_digests": licenses.sql()}
