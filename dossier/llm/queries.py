@@ -11,6 +11,7 @@ from dossier.llm.jpeg import op7_baseline_jpeg
 from dossier.llm import licenses, mixing, secrets
 from dossier.llm.licenses import op10_license_digests
 from dossier.llm.mixing import op1_mix_sources
+from dossier.llm.near import op4_jaccard_join
 from dossier.llm.quality import op5_quality_rules
 from dossier.llm.secrets import op6_secret_owners
 from dossier.llm.sharding import op8_minimax_shards
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_owners": op6_secret_owners,
     "op7_baseline_jpeg": op7_baseline_jpeg,
