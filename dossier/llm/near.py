@@ -130,7 +130,6 @@ def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hash
 
     def run(batches):
         known = shared.value
-        seen: set[bytes] = set()
         h, key, extra, hots = [], [], [], []
         size = 0
 
@@ -154,10 +153,6 @@ def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hash
             if d is None or not len(values):
                 continue
             digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-            if digest in seen:  # a copy in the same task; equal sets are linked by their digest
-                continue
-            if len(seen) < 1_000_000:
-                seen.add(digest)
             n = len(values)
             need = int(missing(np.int64(n), num)) + 1
             for tier in tiers_of(n, tiers):
@@ -191,7 +186,7 @@ def postings(tokens: DataFrame) -> DataFrame:
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1 OR extra > 0")
     tier = F.col("h").bitwiseAND(F.lit(3))
     shared = F.when(F.col("extra") == 0, F.struct(F.col("df"), F.col("h")))
-    # distinct: a copy in another task gives the same rows again
+    # distinct: an id may have several rows of one text
     own = counted.groupBy("k", tier.alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.sort_array(F.array_distinct(F.collect_list(shared))).alias("shared"))
     # prefix length - (cold - shared) of the shared ones, then the hot ones
     want = (F.col("extra") - F.lit(1 << 40)) + F.size("shared")
