@@ -47,9 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: lineage ends here, and a lost executor costs only the reread."""
+    """Write `df` as a table in the shared folder and read it back: lineage ends here, and a lost executor costs only the reread.
+
+    The table goes when the application ends; results are lazy, so it can't go earlier.
+    """
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
