@@ -11,10 +11,13 @@ most HOT_MAX, found by task-local counts and broadcast) come last in that order
 that hold almost nothing else. Orders 2 and 3 are random; a candidate pair must share prefix shingles under these as well
 before its sets are fetched and compared.
 
+Every posting carries its set's size and a bitmap of BITS parities: two bitmaps differ in no more bits than the sets in
+shingles, so pairs whose bitmaps differ too much are dropped inside the join, before anything is emitted.
+
 Near copies in their thousands are joined without all their pairs: first each member of a posting list is compared with
-the list's first document of like length only; then, once those links have been contracted, only pairs whose documents are
-still in different components are generated and compared. A pair that shares a prefix shingle is thus compared or already
-connected, so no component is lost.
+LEADERS leaders of the list of like length only; then, once those links have been contracted, only pairs whose documents
+are still in different components are generated and compared. A pair that shares a prefix shingle is thus compared or
+already connected, so no component is lost.
 
 Defined results: a text without words has the empty set and links with nothing. Fewer words than a shingle make one
 shingle. Equal sets link. Rows of one id are one node: their links are pooled, also where their texts differ. A null id
@@ -43,6 +46,8 @@ HOT_MAX = 200_000
 #: A shingle in more than one of HOT_SHARE documents of a run of documents may be hot; runs hold so many shingles.
 HOT_SHARE, RUN = 200, 1 << 21
 BITMAP = 1 << 26
+#: Bits of a set's parity bitmap, and leaders of a posting list.
+BITS, LEADERS = 256, 8
 U = np.uint64
 
 
@@ -124,13 +129,13 @@ def profiles(docs: DataFrame, k: int, num: int) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hashed: bool) -> DataFrame:
-    """(h, k, extra, hots): shingles of documents in their tiers but the hot ones; a row with extra > 0 tells of the
-    document: 2 * (prefix length less shingles that aren't hot) + 1 offset by 2**40, with the hot shingles of its prefix."""
+    """(h, k, extra, hots, about): shingles of documents in their tiers but the hot ones; a row with extra > 0 tells of the
+    document: 2 * (prefix length less shingles that aren't hot) + 1 offset by 2**40, with the hot shingles of its prefix, and in `about` the set's size and bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         known = shared.value
-        h, key, extra, hots = [], [], [], []
+        h, key, extra, hots, about = [], [], [], [], []
         size = 0
 
         def flush():
@@ -146,8 +151,11 @@ def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hash
             at = first[[i for i, x in enumerate(hots) if x is not None]] if lists else np.zeros(0, np.int64)
             sizes[at + 1] = [len(x) for x in lists]
             has[at] = True
+            of = np.zeros(len(flat) + 1, np.int32)
+            of[first + 1] = 1 + BITS // 64
+            told = pa.ListArray.from_arrays(pa.array(np.cumsum(of), pa.int32()), pa.array(np.concatenate(about), pa.int64()), mask=pa.array(more == 0))
             column = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64()), mask=pa.array(~has))
-            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner), pa.array(more), column], ["h", "k", "extra", "hots"])
+            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner), pa.array(more), column, told], ["h", "k", "extra", "hots", "about"])
 
         for d, values, _, _ in _rows(batches, k):
             if d is None or not len(values):
@@ -155,7 +163,10 @@ def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hash
             digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
             n = len(values)
             need = int(missing(np.int64(n), num)) + 1
+            odd = np.bincount((K.mix(values ^ U(0x6C62272E07BB0142)) >> U(56)).astype(np.int64), minlength=BITS) & 1
+            told_of = np.concatenate([[n], np.packbits(odd.astype(np.uint8)).view(np.int64)])
             for tier in tiers_of(n, tiers):
+                about.append(told_of)
                 tagged = _tag(_part(values, tiers[tier][1]), tier)
                 at = np.minimum(np.searchsorted(known, tagged), max(len(known) - 1, 0))
                 is_hot = known[at] == tagged if len(known) else np.zeros(len(tagged), bool)
@@ -168,15 +179,15 @@ def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hash
                 size += len(cold) + 1
             if size >= 1 << 17:
                 yield flush()
-                h, key, extra, hots, size = [], [], [], [], 0
+                h, key, extra, hots, about, size = [], [], [], [], [], 0
         if h:
             yield flush()
 
-    return docs.mapInArrow(run, "h long, k long, extra long, hots array<long>")
+    return docs.mapInArrow(run, "h long, k long, extra long, hots array<long>, about array<long>")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(h, k): the shingles of each document's prefix under order 1 that some other document has too.
+    """(h, k, n, bits): the shingles of each document's prefix under order 1 that some other document has too.
 
     A document knows how many shingles aren't hot; those that don't come back with a count of 2 or more are its own
     alone, are the rarest, and fill the prefix first.
@@ -187,12 +198,20 @@ def postings(tokens: DataFrame) -> DataFrame:
     tier = F.col("h").bitwiseAND(F.lit(3))
     shared = F.when(F.col("extra") == 0, F.struct(F.col("df"), F.col("h")))
     # distinct: an id may have several rows of one text
-    own = counted.groupBy("k", tier.alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.sort_array(F.array_distinct(F.collect_list(shared))).alias("shared"))
+    own = counted.groupBy("k", tier.alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.max("about").alias("about"), F.sort_array(F.array_distinct(F.collect_list(shared))).alias("shared"))
     # prefix length - (cold - shared) of the shared ones, then the hot ones
     want = (F.col("extra") - F.lit(1 << 40)) + F.size("shared")
     prefix = F.slice("shared", F.lit(1), F.greatest(want, F.lit(0)).cast("int"))
     listed = F.concat(F.transform(prefix, lambda x: x["h"]), F.coalesce("hots", F.array().cast("array<long>")))
-    return own.select("k", F.explode(listed).alias("h"))
+    return own.select(F.explode(listed).alias("h"), "k", F.col("about")[0].alias("n"), *(F.col("about")[i + 1].alias(f"w{i}") for i in range(BITS // 64)))
+
+
+def close(a: str, b: str, num: int):
+    """Whether sizes and bitmaps of the aliases a and b allow a link: num * union <= 100 * intersection bounds how many
+    shingles two sets of given sizes may differ in, and bitmaps differ in no more bits than that."""
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(BITS // 64)), F.lit(0))
+    return (100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= num * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))) & ((100 + num) * apart <= (100 - num) * both)
 
 
 def sets(docs: DataFrame, ids: DataFrame, k: int, num: int, hashed: bool) -> DataFrame:
@@ -308,26 +327,32 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFram
         ids = nodes.groupBy("d").agg(F.min("k").alias("a"), F.max("k").alias("z")).filter("a <> z").select("d", "a")
         copies = copies.unionAll(nodes.join(ids, "d").filter("k <> a").select("a", F.col("k").alias("b")).distinct())
     alone = posted.join(copies.select(F.col("b").alias("k")).distinct(), "k", "left_anti") if not hashed else posted
-    sizes = nodes.groupBy("k").agg(F.max("n").alias("n"))
     band = F.floor(F.log("n") / float(-np.log(num / 100))).cast("int")
-    lists = alone.join(sizes, "k").withColumn("band", band)
-    many = lists.groupBy("h").agg(F.min("k").alias("x"), F.max("k").alias("y")).filter("x <> y").select("h")
-    lists = cut(lists.join(many, "h"), "near-lists")
+    many = alone.groupBy("h").agg(F.min("k").alias("x"), F.max("k").alias("y")).filter("x <> y").select("h")
+    lists = cut(alone.join(many, "h").withColumn("band", band), "near-lists")
     kept = cut(sets(rows, lists.select("k").distinct(), k, num, hashed), "near-sets")
 
-    lead = lists.groupBy("h", "band").agg(F.min("k").alias("a"))
-    star = cut(lists.join(lead, ["h", "band"]).filter("k <> a").select("a", F.col("k").alias("b")).distinct(), "near-star")
+    lot = F.pmod(F.xxhash64("h", "k"), F.lit(LEADERS))
+    facts = ["n", *(f"w{i}" for i in range(BITS // 64))]
+    leads = lists.groupBy("h", "band", lot).agg(F.min(F.struct("k", *facts)).alias("lead")).select("h", "band", "lead.*")
+    x, y = lists.alias("x"), leads.alias("y")
+    near_lead = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.k") != F.col("y.k")) & close("x", "y", num))
+    star = cut(near_lead.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct(), "near-star")
     links = cut(copies.select("a", "b").unionAll(verified(star, kept, num)), "near-links")
     first = components(links)
 
-    labelled = lists.join(first, "k", "left").withColumn("c", F.coalesce("root", "k")).select("h", "k", "n", "c")
-    groups = labelled.select("h", "c").distinct()
+    labelled = cut(lists.join(first, "k", "left").withColumn("c", F.coalesce("root", "k")).select("h", "k", "c", *facts), "near-labelled")
+    groups = labelled.groupBy("h", "c").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
     groups = cut(groups.join(mixed, "h"), "near-groups")
-    cross = groups.select("h", F.col("c").alias("ca")).join(groups.select("h", F.col("c").alias("cb")), "h").filter("ca < cb")
-    left, right = (labelled.select("h", F.col("c").alias(f"c{x}"), F.col("k").alias(x), F.col("n").alias(f"m{x}")) for x in "ab")
-    pairs = cross.join(left, ["h", "ca"]).join(right, ["h", "cb"]).filter(100 * F.least("ma", "mb") >= num * F.greatest("ma", "mb"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # components that meet in a list, the one with fewer members there first: its members are listed, the other's joined
+    x, y = groups.alias("x"), groups.alias("y")
+    fewer = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.c") < F.col("y.c")))
+    meet = x.join(y, (F.col("x.h") == F.col("y.h")) & fewer).select("x.h", F.col("x.c").alias("c"), F.col("y.c").alias("other"))
+    few = meet.join(labelled, ["h", "c"]).select("h", "other", "k", *facts)
+    x, y = few.alias("x"), labelled.alias("y")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.other") == F.col("y.c")) & close("x", "y", num))
+    pairs = pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
     late = cut(verified(pairs.join(star, ["a", "b"], "left_anti"), kept, num), "near-late")
     last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(late)) if late.limit(1).count() else first
 
