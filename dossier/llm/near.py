@@ -197,8 +197,8 @@ def postings(tokens: DataFrame) -> DataFrame:
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1 OR extra > 0")
     tier = F.col("h").bitwiseAND(F.lit(3))
     shared = F.when(F.col("extra") == 0, F.struct(F.col("df"), F.col("h")))
-    # distinct: an id may have several rows of one text
-    own = counted.groupBy("k", tier.alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.max("about").alias("about"), F.sort_array(F.array_distinct(F.collect_list(shared))).alias("shared"))
+    # rows that repeat an id and text only lengthen its prefix, which is safe
+    own = counted.groupBy("k", tier.alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.max("about").alias("about"), F.sort_array(F.collect_list(shared)).alias("shared"))
     # prefix length - (cold - shared) of the shared ones, then the hot ones
     want = (F.col("extra") - F.lit(1 << 40)) + F.size("shared")
     prefix = F.slice("shared", F.lit(1), F.greatest(want, F.lit(0)).cast("int"))
