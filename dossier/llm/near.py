@@ -343,15 +343,13 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFram
 
     labelled = cut(lists.join(first, "k", "left").withColumn("c", F.coalesce("root", "k")).select("h", "k", "c", *facts), "near-labelled")
     groups = labelled.groupBy("h", "c").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("h")
-    groups = cut(groups.join(mixed, "h"), "near-groups")
-    # components that meet in a list, the one with fewer members there first: its members are listed, the other's joined
-    x, y = groups.alias("x"), groups.alias("y")
-    fewer = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.c") < F.col("y.c")))
-    meet = x.join(y, (F.col("x.h") == F.col("y.h")) & fewer).select("x.h", F.col("x.c").alias("c"), F.col("y.c").alias("other"))
-    few = meet.join(labelled, ["h", "c"]).select("h", "other", "k", *facts)
-    x, y = few.alias("x"), labelled.alias("y")
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.other") == F.col("y.c")) & close("x", "y", num))
+    # of each list that several components meet in, its largest component: pairs are sought for the other members only
+    mixed = groups.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select(F.col("h").alias("mh"), F.col("top.c").alias("top"))
+    mixed = cut(mixed, "near-mixed")
+    x = labelled.join(mixed, F.col("h") == F.col("mh")).filter("c <> top").alias("x")
+    y = labelled.alias("y")
+    once = (F.col("y.c") == F.col("x.top")) | (F.col("x.k") < F.col("y.k"))
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & once & close("x", "y", num))
     pairs = pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
     late = cut(verified(pairs.join(star, ["a", "b"], "left_anti"), kept, num), "near-late")
     last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(late)) if late.limit(1).count() else first
