@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest id stays."""
-    return near.drop_near_copies(docs)
+    """Of each component of near copies (Jaccard of 5-word shingles at least 0.8) the document of the smallest id stays."""
+    return near.drop_near_copies(docs, 5, 80)
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

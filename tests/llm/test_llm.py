@@ -602,3 +602,15 @@ def test_pipeline_stages(spark):
     assert ids[2] == ids[1] and all(not brute_spans(r["text"]) for r in at[2][1].collect())
     assert set(ids[3]) <= set(ids[2]) and max(Counter(ids[3]).values()) <= 3
     assert ids[4] == ids[3] and at[4][1].filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_pipeline_drops_replaced_passages(spark):
+    """A pair with 5-word Jaccard 176/216, which 4-word shingles at 0.85 keep apart; one with 170/222 stays."""
+    import corpus_pipeline
+
+    text = [f"w{i}" for i in range(200)]
+    swap = lambda n: " ".join([*text[:80], *(f"e{i}" for i in range(n)), *text[80 + n :]])
+    for n, want in ((16, [1]), (22, [1, 2])):
+        docs = spark.createDataFrame([(1, " ".join(text)), (2, swap(n))], "doc_id long, text string")
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+        assert near.drop_near_copies(docs).count() == 2
