@@ -1,9 +1,7 @@
 """Quality rules with an n-gram perplexity verdict (op5).
 
-The language model is a modified Kneser-Ney model of order 4 over 32 symbols (letters without case, white space, digit,
-punctuation, other ASCII, Latin letters beyond ASCII, the rest). Its 4-gram counts are summed by Spark over all documents,
-each language apart, and kept as sorted key and count arrays: at most 2**20 keys in each of 32 language slots, so what is
-broadcast is bounded whatever the corpus. Lower orders, discounts and back-off weights follow from those counts.
+The language model is a modified Kneser-Ney model of order 5 over code points (see `ngrams`): its counts are summed by
+Spark over all documents, each language apart, in a table that grows with the corpus.
 
 A document's cost is its mean bits a symbol. For each language the bits of all documents that pass the base rules form a
 histogram; the band runs from LOW spreads under the median to HIGH spreads above it, a spread being the distance from the
@@ -17,7 +15,6 @@ Repeated rows count as often as they occur. Empty tables give no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dossier.llm import kernel as K
+from dossier.llm import kernel as K, ngrams
 from dossier.llm.common import cut, ship, table
 
-ORDER, BITS, SLOTS = 4, 5, 32
+#: A dense model over 32 symbols, to hold the estimate's formula against; documents are scored by `ngrams`.
+ORDER, BITS = 4, 5
 CODES = 1 << (ORDER * BITS)
-#: Fixed-point logarithms: this many to a bit. Histogram bins: this many to a bit.
-SCALE, BINS = 4096, 64
+#: Histogram bins: this many to a bit.
+BINS = 64
 HIGH, LOW, FLOOR = 24.0, 4.0, 0.05
 MIN_WORDS = 50
 
@@ -54,10 +52,6 @@ MARK[[*b"#*$%&|<>"]] = True
 BASE_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def slot_of(lang: str | None) -> int:
-    return zlib.crc32((lang or "").encode()) % SLOTS
-
-
 def base_features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
     words, _, _, first = K.word_hashes(data, at)
@@ -122,50 +116,6 @@ def codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, offset
 
 
-def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key int, n long): how often each 4-gram of each language slot occurs in all documents."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for batch, data, at in K.slices(whole, "__text"):
-                code, offset = codes(data, at)
-                slots = np.array([slot_of(x) for x in batch.column(1).to_pylist()])
-                of = np.repeat(slots, np.diff(offset))
-                for s in np.unique(slots).tolist():
-                    if s not in counts:
-                        counts[s] = np.zeros(CODES, np.int64)
-                    counts[s] += np.bincount(code[of == s], minlength=CODES)
-        for s, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array((at + s * CODES).astype(np.int32)), pa.array(c[at])], ["key", "n"])
-
-    part = docs.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).mapInArrow(run, "key int, n long")
-    return part.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Sorted keys and counts of the 4-grams; a slot's table of costs is made when it is first asked for."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order].astype(np.int32), counts[order].astype(np.int64)
-        self.tables: dict[int, np.ndarray] = {}
-
-    def __getstate__(self):
-        return {"keys": self.keys, "counts": self.counts, "tables": {}}
-
-    def costs(self, slot: int) -> np.ndarray:
-        """Cost of the last symbol of every 4-gram after its first three, in 1/4096 bit."""
-        if slot not in self.tables:
-            lo, hi = np.searchsorted(self.keys, [slot * CODES, (slot + 1) * CODES])
-            count = np.zeros(CODES, np.int64)
-            count[self.keys[lo:hi] - slot * CODES] = self.counts[lo:hi]
-            self.tables[slot] = np.rint(-np.log2(kneser_ney(count)) * SCALE).astype(np.int32)
-        return self.tables[slot]
-
-
 def kneser_ney(count: np.ndarray) -> np.ndarray:
     """Interpolated modified Kneser-Ney probabilities of every 4-gram's last symbol."""
     size = 1 << BITS
@@ -186,37 +136,21 @@ def kneser_ney(count: np.ndarray) -> np.ndarray:
     return np.maximum(p.ravel(), 1e-12)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all documents; the driver gets at most SLOTS * 2**20 (key, count) rows, whatever the corpus."""
-    got = ngram_counts(docs, text, lang).toArrow()
-    return Model(got["key"].to_numpy(), got["n"].to_numpy())
-
-
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+def score(docs: DataFrame, model: ngrams.Model, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """`keep` columns, the base figures, base_failed, and the bin (1/64 bit) of the mean cost of a symbol; null without symbols."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     schema = T.StructType([*kept.select(*keep).schema, *T._parse_datatype_string(f"{BASE_FIELDS}, base_failed boolean, __bin long")])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = shared.value
         for whole in batches:
-            for batch, data, at in K.slices(whole, "__text"):
+            for batch, data, at in K.slices(whole, "__text", model.block):
                 base = base_features(data, at)
                 failed = (base[0] < MIN_WORDS) | (100 * base[4] > 50 * base[0])
-                code, offset = codes(data, at)
-                n = np.diff(offset)
-                slots = np.array([slot_of(x) for x in batch.column(batch.num_columns - 1).to_pylist()])
-                of = np.repeat(slots, n)
-                cost = np.zeros(len(code) + 1, np.int64)
-                for s in np.unique(slots).tolist():
-                    mine = np.flatnonzero(of == s)
-                    cost[mine + 1] = lm.costs(s)[code[mine]]
-                total = np.cumsum(cost)
-                bins = (total[offset[1:]] - total[offset[:-1]]) * BINS // (np.maximum(n, 1) * SCALE)
+                total, n = ngrams.symbol_costs(model, batch, data, at)
+                bins = total * BINS // (np.maximum(n, 1) * ngrams.SCALE)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, base), pa.array(failed), pa.array(bins, mask=n == 0)], names)
 
     return kept.mapInArrow(run, schema)
@@ -245,14 +179,14 @@ def judge(scored: DataFrame, band: DataFrame, lang: str = "lang") -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, base_failed, kept and bits_per_symbol of every document."""
     docs = docs.select("doc_id", "text", "lang")
-    scored = cut(score(docs, fit(docs), ["doc_id", "lang"]), "quality")
+    scored = cut(score(docs, ngrams.fit(docs), ["doc_id", "lang"]), "quality")
     return judge(scored, cut(bands(scored), "quality-bands")).drop("lang")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
     plain = docs.select("text", "lang")
-    model = fit(plain)
+    model = ngrams.fit(plain)
     band = cut(bands(score(plain, model, ["lang"])), "quality-bands")
     wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
     return judge(score(wrapped, model, ["__row", "lang"]), band).filter("kept").select("__row.*")

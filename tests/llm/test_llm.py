@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, jpeg, kernel, licenses, mixing, near, quality, secrets, sharding, token_counts, toxicity
+from dossier.llm import bpe, jpeg, kernel, licenses, mixing, near, ngrams, quality, secrets, sharding, token_counts, toxicity
 
 TYPE = "doc_id long, text string, lang string, source string, n_chars long, __text string, size int, k long, h long, __row string, kind string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -299,6 +299,53 @@ def test_outliers_leave_their_languages_band(spark):
     assert [r["doc_id"] for r in got.filter("NOT kept").collect()] == [999]
 
 
+def brute_kneser_ney(counted):
+    """Probability of each counted 5-gram (a tuple of code points) of one language."""
+    levels = [counted]
+    for _ in range(4):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    p = {(): 1 / len(levels[-1])}
+    for level in reversed(levels):
+        n = [sum(c == k for c in level.values()) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) if n[k - 1] and n[k] else 0.5 * k for k in (1, 2, 3))]
+        total, off = Counter(), Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            off[g[:-1]] += d[min(c, 3)]
+        p = {g: (c - d[min(c, 3)] + off[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g, c in level.items()}
+    return p
+
+
+def test_ngram_costs_of_an_open_alphabet(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = {"el": "αβγδεζη", "zh": "的一是不了人我", "ro": "abcdé", None: "xY\U0001f600"}
+    rows = [(lang, "".join(rng.choice(x + " ") for _ in range(rng.randrange(60)))) for lang, x in letters.items() for _ in range(20)] + [("el", None), ("el", "")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want = {}
+    for lang in letters:
+        counted = Counter()
+        for x, t in rows:
+            if x == lang:
+                t = "    " + re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+                counted.update(tuple(map(ord, t[i : i + 5])) for i in range(len(t) - 4))
+        want |= {(ngrams.lang_id(lang), *g): (counted[g], p) for g, p in brute_kneser_ney(counted).items()}
+    counted = ngrams.counts(docs)
+    m = (1 << 21) - 1
+    gram = lambda r: (r["lang"], r["a"] >> 21, r["a"] & m, r["b"] >> 42, r["b"] >> 21 & m, r["b"] & m)
+    assert {gram(r): r["n"] for r in counted.collect()} == {g: n for g, (n, _) in want.items()}
+    got = {gram(r): r["p"] for r in ngrams.probabilities(counted).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[g] for g in want], [p for _, p in want.values()])
+    # costs are the same when the table is cut into ranges that are searched in turn
+    model = ngrams.fit(docs)
+    assert len(model.ranges) == 1
+    monkeypatch.setattr(ngrams, "SLICE", 100)
+    cut = ngrams.fit(docs)
+    assert len(cut.ranges) > 5
+    one, many = (sorted(r["__bin"] or -1 for r in quality.score(docs, x, ["lang"]).collect()) for x in (model, cut))
+    assert one == many and len(set(one)) > 20
+
+
 # ---- secrets (op6)
 
 
