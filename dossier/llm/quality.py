@@ -5,7 +5,7 @@ Spark over all documents, each language apart, in a table that grows with the co
 
 A document's cost is its mean bits a symbol. For each language the bits of all documents that pass the base rules form a
 histogram; the band runs from LOW spreads under the median to HIGH spreads above it, a spread being the distance from the
-median to the upper (lower) quartile, at least FLOOR bits. Documents outside their language's band are rejected.
+median to the upper (lower) quartile, at least HIGH_FLOOR (FLOOR) bits. Documents outside their language's band are rejected.
 
 Sums are of integers (logarithms in 1/4096 bit), so results don't depend on partitions or order.
 
@@ -31,8 +31,9 @@ from dossier.llm.common import cut, ship, table
 ORDER, BITS = 4, 5
 CODES = 1 << (ORDER * BITS)
 #: Histogram bins: this many to a bit.
-BINS = 64
-HIGH, LOW, FLOOR = 24.0, 4.0, 0.05
+BINS = 1024
+#: Six spreads are four standard deviations of a normal distribution. Least spreads above and below the median, in bits.
+HIGH, LOW, HIGH_FLOOR, FLOOR = 6.0, 4.0, 0.01, 0.05
 MIN_WORDS = 50
 
 #: Symbol of each UTF-8 lead byte; 255 for continuation bytes.
@@ -137,7 +138,7 @@ def kneser_ney(count: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: ngrams.Model, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """`keep` columns, the base figures, base_failed, and the bin (1/64 bit) of the mean cost of a symbol; null without symbols."""
+    """`keep` columns, the base figures, base_failed, and the bin (1/1024 bit) of the mean cost of a symbol; null without symbols."""
     spark = docs.sparkSession
     ship(spark)
     kept = docs.select(*keep, F.col(text).alias("__text"), F.col(lang).alias("__lang"))
@@ -156,7 +157,7 @@ def score(docs: DataFrame, model: ngrams.Model, keep: list[str], text: str = "te
     return kept.mapInArrow(run, schema)
 
 
-def bands(scored: DataFrame, lang: str = "lang", high: float = HIGH, low: float = LOW, floor: float = FLOOR) -> DataFrame:
+def bands(scored: DataFrame, lang: str = "lang", high: float = HIGH, low: float = LOW, floor: float = FLOOR, high_floor: float = HIGH_FLOOR) -> DataFrame:
     """(__lang_key, __least, __most) bins for each language, from the histogram of all rows that pass the base rules."""
     key = F.struct(F.col(lang).isNull().alias("none"), F.coalesce(F.col(lang), F.lit("")).alias("name"))
     hist = scored.filter(~F.col("base_failed") & F.col("__bin").isNotNull()).groupBy(key.alias("__lang_key"), "__bin").agg(F.count("*").alias("n"))
@@ -164,7 +165,7 @@ def bands(scored: DataFrame, lang: str = "lang", high: float = HIGH, low: float
     run = hist.withColumn("upto", F.sum("n").over(by.orderBy("__bin"))).withColumn("all", F.sum("n").over(by))
     at = run.groupBy("__lang_key").agg(*(F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("__bin"))).alias(f"q{k}") for k in (1, 2, 3)))
     least = F.col("q2") - low * F.greatest(F.col("q2") - F.col("q1"), F.lit(floor * BINS))
-    most = F.col("q2") + high * F.greatest(F.col("q3") - F.col("q2"), F.lit(floor * BINS))
+    most = F.col("q2") + high * F.greatest(F.col("q3") - F.col("q2"), F.lit(high_floor * BINS))
     return at.select("__lang_key", least.alias("__least"), most.alias("__most"))
 
 

@@ -346,6 +346,32 @@ def test_ngram_costs_of_an_open_alphabet(spark, monkeypatch):
     assert one == many and len(set(one)) > 20
 
 
+def test_gibberish_of_another_alphabet_costs_more(spark):
+    """Greek was a run of one symbol, so shuffled letters scored as text."""
+    rng = random.Random(3)
+    known = ["".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(known) for _ in range(90)), "el") for i in range(300)]
+    mixed = list(" ".join(rng.choice(known) for _ in range(90)))
+    rng.shuffle(mixed)
+    rows.append((999, " ".join("".join(mixed).split()) + " ο" * 50, "el"))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [r["doc_id"] for r in got.filter("NOT kept").collect()] == [999]
+
+
+def test_upper_band_follows_each_languages_spread(spark):
+    """A document with some gibberish lies over its own language's band, less than 24 spreads of 0.05 bit over the median."""
+    rng = random.Random(6)
+    junk = lambda: "".join(rng.choice("qxzjvkwy") for _ in range(7))
+    text = lambda share, n: " ".join(junk() if rng.random() < share else rng.choice(WORDS) for _ in range(n))
+    rows = [(i, text(0, 120), "en") for i in range(400)] + [(1000 + i, text(rng.random() / 2, 120), "xx") for i in range(400)]
+    rows.append((999, text(0.15, 120), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert [d for d, r in got.items() if not r["kept"]] == [999]
+    middle = sorted(r["bits_per_symbol"] for d, r in got.items() if d < 999)[200]
+    assert 0.1 < got[999]["bits_per_symbol"] - middle < 24 * 0.05
+
+
 # ---- secrets (op6)
 
 
