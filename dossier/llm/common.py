@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that cross to Python at a time: texts may be long, and a batch is held whole on both sides.
+ROWS = 512
+#: A key with more than one in HOT of all rows is hot, so there are at most HOT of them.
+HOT = 1000
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it there."""
+    """Send this package to the executors once per application, so that Python workers can import it there; and see to it
+    that no more than ROWS texts cross to them at a time."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     if getattr(sc, "_dossier_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -35,10 +48,29 @@ def ship(spark: SparkSession) -> None:
     sc._dossier_shipped = True
 
 
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that gives a worker's freed memory back at the end, since workers live on between stages."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a folder of our own only where the session names none."""
+    """The folder that the driver and all executors see; one of our own only on one machine where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = getattr(spark.sparkContext, "_dossier_shared", None)
         if at is None:
             at = "file://" + tempfile.mkdtemp(prefix="dossier-shared-")
@@ -66,3 +98,17 @@ def n_words(text: Column) -> Column:
 
 def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def join_by_key(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
+    """`rows` left-joined with `side` (one row for each key, with the number `weight` of rows of that key).
+
+    A key with more than one in HOT of all rows would meet in one task; there are at most HOT such keys, so they are joined
+    by broadcast and only the others are dealt out by key.
+    """
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    hot = side.filter(F.col(weight) * HOT > total)
+    if hot.limit(1).count() == 0:
+        return rows.join(side.drop(weight), key, "left")
+    warm = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side.filter(F.col(weight) * HOT <= total).drop(weight), key, "left")
+    return warm.unionByName(rows.join(F.broadcast(hot.drop(weight)), key))

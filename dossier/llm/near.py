@@ -2,26 +2,32 @@
 
 Two documents link when 100 * |intersection| >= NUM * |union| of their shingle sets. A set of n shingles misses at most
 m = n - ceil(NUM * n / 100) of a linked set, so under any order of all shingles the first m + 1 of both share one. The
-filter holds within any fixed part of all shingles as long as a set has more than m there; longer sets use a smaller part
-(TIERS), and if any set had too few in its part, whole sets are used for all.
+filter holds within any fixed part of all shingles unless both sets have only m or fewer there; longer sets use a smaller
+part (TIERS), and a document with so few in its part also stands with its whole set in a tier of such documents (THIN).
 
 Order 1 is rarest first: shingles are counted over the corpus, and those of a single document are never emitted, so a
 passage that many documents share makes no candidates of documents that differ elsewhere. The few hottest shingles (at
 most HOT_MAX, found by task-local counts and broadcast) come last in that order and are never shuffled but by documents
-that hold almost nothing else. Orders 2 and 3 are random; a candidate pair must share prefix shingles under these as well
-before its sets are fetched and compared.
+that hold almost nothing else. Orders 2 and 3 are random. A pair is emitted only where both have a shingle of order 1's
+prefix and the sketches of their prefixes under orders 2 and 3 meet; before sets are fetched, those prefixes themselves must.
 
-Every posting carries its set's size and a bitmap of BITS parities: two bitmaps differ in no more bits than the sets in
-shingles, so pairs whose bitmaps differ too much are dropped inside the join, before anything is emitted.
+Lists of documents that share a shingle are told apart by their members: of lists of equal members (a shared passage gives
+one for each of its shingles) one is joined. Every list row carries its set's size and BITS parities: two parity bitmaps
+differ in no more bits than the sets in shingles, so pairs that differ too much are dropped inside the join. Sets of the
+longer tiers have parities of a sample of all shingles; a pair is then dropped beyond the bound's expected share in the
+sample by MARGIN standard deviations, which loses a linked pair with a probability below 1e-13, as does a collision of
+two of its 64-bit shingle hashes.
 
-Near copies in their thousands are joined without all their pairs: first each member of a posting list is compared with
-LEADERS leaders of the list of like length only; then, once those links have been contracted, only pairs whose documents
-are still in different components are generated and compared. A pair that shares a prefix shingle is thus compared or
-already connected, so no component is lost.
+Near copies in their thousands are joined without all their pairs: equal sets are one node; each member of a list is first
+compared with LEADERS leaders of the list of like length; then, once those links have been contracted, only pairs whose
+documents are still in different components are generated and compared, long lists in salted parts. A pair that shares a
+prefix shingle is thus compared or already connected, so no component is lost.
 
 Defined results: a text without words has the empty set and links with nothing. Fewer words than a shingle make one
-shingle. Equal sets link. Rows of one id are one node: their links are pooled, also where their texts differ. A null id
-links with nothing and has a null component. Empty tables give no rows.
+shingle. Equal sets link. Rows of one id are one node of the join: their links are pooled, also where their texts differ.
+A null id links with nothing and has a null component. Empty tables give no rows. `drop_near_copies` decides by row instead:
+of a component stays the row of the smallest id (then of the smallest text hash), once; rows of null ids and of texts without
+words stay, the latter once for equal id and text.
 """
 
 from __future__ import annotations
@@ -31,61 +37,123 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dossier.llm import kernel as K
-from dossier.llm.common import cut, ship, table
+from dossier.llm.common import cut, join_by_key, lean, ship, table
 
-WORDS, NUM = 4, 85
-#: (least size of a set, part of all shingles that stand for it); a set is in every tier from its least size up to
-#: OVERLAP times the next tier's least size, so that both sets of a linking pair share a tier.
-TIERS = ((0, 1.0), (128, 0.5), (512, 0.3))
-OVERLAP = 1.25
+WORDS, NUM = 5, 80
+#: Least size of a set in each tier; a set is in every tier from its least size up to OVERLAP times the next tier's, so that
+#: both sets of a linking pair share a tier. THIN is the tier of whole sets of documents with too few shingles in a part.
+TIERS = (0, 128, 512, 2048, 8192, 32768, 131072)
+OVERLAP, THIN = 1.25, 7
 HOT_MAX = 200_000
 #: A shingle in more than one of HOT_SHARE documents of a run of documents may be hot; runs hold so many shingles.
-HOT_SHARE, RUN = 200, 1 << 21
+HOT_SHARE, RUN = 200, 1 << 20
 BITMAP = 1 << 26
-#: Bits of a set's parity bitmap, and leaders of a posting list.
-BITS, LEADERS = 256, 8
+#: Bits of a set's parity bitmap and of its sketch under each random order, and leaders of a posting list.
+BITS, SKETCH, LEADERS = 512, 128, 8
+#: Shingles that two linked sets of the longest size of a tier differ by in its sample, at most; standard deviations and
+#: shingles beyond the expected difference from which a sampled pair is dropped.
+SAMPLE, MARGIN, SPARE = 110, 8.0, 12.0
+#: Members of a list that meet all its other members in one task.
+SALT = 4096
+#: Seeds of the hashes that make orders 2 and 3.
+SEEDS = (0x5DEECE66D, 0x2545F4914F6CDD1D)
+FACTS = [*(f"w{i}" for i in range(BITS // 64)), *(f"o{k}{i}" for k in (2, 3) for i in range(SKETCH // 64))]
 U = np.uint64
 
 
-def missing(n: np.ndarray, num: int) -> np.ndarray:
+def missing(n: int, num: int) -> int:
     """The most shingles of a set of n that a linked set may lack."""
     return n - -(-num * n // 100)
 
 
-def tiers_of(n: int, tiers) -> list[int]:
-    ends = [int(t[0] * OVERLAP) for t in tiers[1:]] + [1 << 62]
-    return [i for i, (t, end) in enumerate(zip(tiers, ends, strict=True)) if t[0] <= n < end]
+def tiers_of(n: int) -> list[int]:
+    ends = [int(t * OVERLAP) for t in TIERS[1:]] + [1 << 62]
+    return [i for i, (t, end) in enumerate(zip(TIERS, ends, strict=True)) if t <= n < end]
+
+
+def part_of(tier: int, num: int) -> float:
+    """The part of all shingles that stands for a tier's sets."""
+    loss = 1 - num / 100
+    return 1.0 if tier in (0, THIN) else min(1.0, max(0.5, 2.5 * loss)) if tier == 1 else min(1.0, max(0.3, 2 * loss))
+
+
+def sampled(tier: int, num: int) -> float:
+    """The part of all shingles that a tier's parities are of."""
+    if tier == THIN:
+        return 1.0
+    longest = OVERLAP * (TIERS[tier + 1] if tier + 1 < len(TIERS) else 4 * TIERS[tier])
+    apart = 2 * (100 - num) / (100 + num) * longest
+    return 1.0 if apart <= 0.4 * BITS else SAMPLE / apart
 
 
 def _part(values: np.ndarray, share: float) -> np.ndarray:
-    """The sorted values in the part of all shingles that a tier uses."""
+    """The sorted values in a part of all shingles."""
     return values if share >= 1 else values[: int(np.searchsorted(values, U(int(share * 2**64))))]
 
 
 def _tag(values: np.ndarray, tier: int) -> np.ndarray:
     """Shingle keys of a tier, as signed numbers."""
-    return ((values & ~U(3)) | U(tier)).astype(np.int64)
+    return ((values & ~U(7)) | U(tier)).astype(np.int64)
+
+
+def _tier(h: str) -> Column:
+    return F.col(h).bitwiseAND(F.lit(7))
+
+
+def _hash(d: int, digest: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(d.to_bytes(8, "big", signed=True) + digest, digest_size=8).digest(), "big", signed=True)
+
+
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _first(values: np.ndarray, seed: int, need: int) -> np.ndarray:
+    """Hashes of the first `need` shingles under a random order."""
+    order = K.mix(values ^ U(seed))
+    return np.partition(order, need - 1)[:need] if need < len(order) else order
+
 
+def _packed(places: np.ndarray, size: int) -> np.ndarray:
+    """Parities of how often each place occurs, 64 to a number."""
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64)
 
-def _key(d: int, digest: bytes, hashed: bool) -> int:
-    return int.from_bytes(hashlib.blake2b(d.to_bytes(8, "big", signed=True) + digest, digest_size=8).digest(), "big", signed=True) if hashed else d
+
+def _facts(values: np.ndarray, num: int, tier: int) -> np.ndarray:
+    """Parities of the shingles that the tier samples, and sketches of the prefixes under orders 2 and 3."""
+    mixed = K.mix(values ^ U(0x6C62272E07BB0142))
+    if (share := sampled(tier, num)) < 1:
+        mixed = mixed[mixed < U(int(share * 2**64))]
+    need = missing(len(values), num) + 1
+    return np.concatenate([_packed(mixed & U(BITS - 1), BITS), *(_packed(np.unique(_first(values, seed, need) & U(SKETCH - 1)), SKETCH) for seed in SEEDS)])
+
+
+def _standing(values: np.ndarray, num: int, share=part_of) -> list[tuple[int, np.ndarray]]:
+    """(tier, shingles that stand for the set there), with the whole set in THIN where a part has too few."""
+    m = missing(len(values), num)
+    found = [(tier, _part(values, share(tier, num))) for tier in tiers_of(len(values))]
+    return [*found, (THIN, values)] if any(len(part) <= m for _, part in found) else found
 
 
 def _rows(batches: Iterator[pa.RecordBatch], k: int):
-    """(id, sorted shingle array, row's record) of every row; ids are column 0, texts column 1."""
+    """(row's place, its batch, sorted shingle array) of every row; texts are in the column __text."""
     for whole in batches:
         for batch, data, at in K.slices(whole, "__text"):
             values, offset = K.shingle_sets(data, at, k)
-            for r, d in enumerate(batch.column(0).to_pylist()):
-                yield d, values[offset[r] : offset[r + 1]], batch, r
+            for r in range(batch.num_rows):
+                yield r, batch, values[offset[r] : offset[r + 1]]
+
+
+PROFILE = "kind int, d long, t long, n long, digest binary, h long, tier int, facts array<long>"
 
 
 def profiles(docs: DataFrame, k: int, num: int) -> DataFrame:
-    """Rows of documents (__d, n, digest, thin, __hash) and of hot shingles (h, c), told apart by `hot`."""
+    """Rows of documents (kind 0: d, t, n, digest, h), hot shingles (1: h, n) and facts of a document in a tier (2: d, h, n, tier, facts)."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -93,55 +161,70 @@ def profiles(docs: DataFrame, k: int, num: int) -> DataFrame:
         out: list[tuple] = []
 
         def hot():
-            if not held:
-                return
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            much = c >= max(8, documents // HOT_SHARE)
-            yield pa.RecordBatch.from_pydict({"hot": pa.array([True] * int(much.sum()), pa.bool_()), "d": pa.nulls(int(much.sum()), pa.int64()), "n": pa.array(c[much], pa.int64()), "digest": pa.nulls(int(much.sum()), pa.binary()), "thin": pa.nulls(int(much.sum()), pa.bool_()), "h": pa.array(h[much], pa.int64())})
+            if held:
+                h, c = np.unique(np.concatenate(held), return_counts=True)
+                much = c >= max(8, documents // HOT_SHARE)
+                out.extend((1, None, None, int(x), None, int(y), None, None) for x, y in zip(c[much], h[much], strict=True))
 
         def rows():
-            d, n, digest, thin, h = zip(*out, strict=True)
-            return pa.RecordBatch.from_pydict({"hot": pa.array([False] * len(out), pa.bool_()), "d": pa.array(d, pa.int64()), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "thin": pa.array(thin, pa.bool_()), "h": pa.array(h, pa.int64())})
-
-        for d, values, _, _ in _rows(batches, k):
-            n = len(values)
-            digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-            m = int(missing(np.int64(n), num))
-            thin = False
-            for tier in tiers_of(n, TIERS) if n else ():
-                part = _part(values, TIERS[tier][1])
-                thin |= len(part) <= m
+            kind, d, t, n, digest, h, tier, facts = zip(*out, strict=True)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip((kind, d, t, n, digest, h, tier, facts), kinds, strict=True)], [x.split(" ")[0] for x in PROFILE.split(", ")])
+
+        for r, batch, values in _rows(batches, k):
+            d, t, n = batch.column(0)[r].as_py(), batch.column(2)[r].as_py(), len(values)
+            digest = _digest(values)
+            h = None if d is None else _hash(d, digest)
+            out.append((0, d, t, n, digest, h, None, None))
+            for tier, part in _standing(values, num) if n and d is not None else ():
+                out.append((2, d, None, n, None, h, tier, _facts(values, num, tier)))
                 held.append(_tag(part, tier))
                 size += len(part)
             documents += 1
-            out.append((d, n, digest, thin, None if d is None else _key(d, digest, True)))
-            if len(out) >= 4096:
-                yield rows()
-                out.clear()
             if size >= RUN:
-                yield from hot()
+                hot()
                 held, size, documents = [], 0, 0
+            if len(out) >= 2048:
+                yield rows()
+                out.clear()
+        hot()
         if out:
             yield rows()
-        yield from hot()
 
-    return docs.mapInArrow(run, "hot boolean, d long, n long, digest binary, thin boolean, h long")
+    return docs.mapInArrow(lean(run), PROFILE)
+
+
+def _bit(d: str) -> Column:
+    return F.pmod(F.xxhash64(d), F.lit(BITMAP))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the places b that occur; others that fall on the same bits must do no harm."""
+    words = ids.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits")).toArrow()  # bounded: BITMAP / 64 rows
+    out = np.zeros(BITMAP >> 6, np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
 
 
-def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hashed: bool) -> DataFrame:
-    """(h, k, extra, hots, about): shingles of documents in their tiers but the hot ones; a row with extra > 0 tells of the
-    document: 2 * (prefix length less shingles that aren't hot) + 1 offset by 2**40, with the hot shingles of its prefix, and in `about` the set's size and bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _has(bits: np.ndarray, b: int) -> bool:
+    return len(bits) > 0 and bool(int(bits[b >> 6]) >> (b & 63) & 1)
+
+
+def shingle_rows(docs: DataFrame, k: int, num: int, hot: np.ndarray, several: np.ndarray) -> DataFrame:
+    """(h, k, extra, hots): shingles of documents in their tiers but the hot ones; a row with extra > 0 tells of the document:
+    2**40 + the prefix length less the shingles that aren't hot, with the hot shingles of its prefix.
+
+    A document's key is its id, or a hash of id and set where its id's bit says that the id has several sets."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, several))
 
     def run(batches):
-        known = shared.value
-        h, key, extra, hots, about = [], [], [], [], []
+        known, bits = shared.value
+        h, key, extra, hots = [], [], [], []
         size = 0
 
         def flush():
             n = [len(x) for x in h]
             flat = np.concatenate(h)
-            owner = np.repeat(np.array(key, np.int64), n)
             more = np.zeros(len(flat), np.int64)
             first = np.cumsum([0, *n[:-1]])
             more[first] = extra
@@ -151,138 +234,109 @@ def shingle_rows(docs: DataFrame, k: int, num: int, tiers, hot: np.ndarray, hash
             at = first[[i for i, x in enumerate(hots) if x is not None]] if lists else np.zeros(0, np.int64)
             sizes[at + 1] = [len(x) for x in lists]
             has[at] = True
-            of = np.zeros(len(flat) + 1, np.int32)
-            of[first + 1] = 1 + BITS // 64
-            told = pa.ListArray.from_arrays(pa.array(np.cumsum(of), pa.int32()), pa.array(np.concatenate(about), pa.int64()), mask=pa.array(more == 0))
             column = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64()), mask=pa.array(~has))
-            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner), pa.array(more), column, told], ["h", "k", "extra", "hots", "about"])
+            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(key, np.int64), n)), pa.array(more), column], ["h", "k", "extra", "hots"])
 
-        for d, values, _, _ in _rows(batches, k):
+        for r, batch, values in _rows(batches, k):
+            d = batch.column(0)[r].as_py()
             if d is None or not len(values):
                 continue
-            digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-            n = len(values)
-            need = int(missing(np.int64(n), num)) + 1
-            odd = np.bincount((K.mix(values ^ U(0x6C62272E07BB0142)) >> U(56)).astype(np.int64), minlength=BITS) & 1
-            told_of = np.concatenate([[n], np.packbits(odd.astype(np.uint8)).view(np.int64)])
-            for tier in tiers_of(n, tiers):
-                about.append(told_of)
-                tagged = _tag(_part(values, tiers[tier][1]), tier)
+            own = _hash(d, _digest(values))
+            need = missing(len(values), num) + 1
+            for tier, part in _standing(values, num):
+                tagged = _tag(part, tier)
                 at = np.minimum(np.searchsorted(known, tagged), max(len(known) - 1, 0))
                 is_hot = known[at] == tagged if len(known) else np.zeros(len(tagged), bool)
                 cold = tagged[~is_hot]
                 # the first row of a document in a tier is about it; its key is no shingle's
-                h.append(np.concatenate([np.array([(_key(d, digest, True) & ~3) | tier], np.int64), cold]))
-                key.append(_key(d, digest, hashed))
+                h.append(np.concatenate([np.array([(own & ~7) | tier], np.int64), cold]))
+                key.append(own if _has(bits, batch.column(2)[r].as_py()) else d)
                 extra.append((1 << 40) + need - len(cold))
                 hots.append(tagged[is_hot][: need - len(cold)] if need > len(cold) else None)
                 size += len(cold) + 1
-            if size >= 1 << 17:
+            if size >= 1 << 16:
                 yield flush()
-                h, key, extra, hots, about, size = [], [], [], [], [], 0
+                h, key, extra, hots, size = [], [], [], [], 0
         if h:
             yield flush()
 
-    return docs.mapInArrow(run, "h long, k long, extra long, hots array<long>, about array<long>")
+    return docs.mapInArrow(lean(run), "h long, k long, extra long, hots array<long>")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(h, k, n, bits): the shingles of each document's prefix under order 1 that some other document has too.
+    """(h, k): the shingles of each document's prefix under order 1 that some other document has too.
 
     A document knows how many shingles aren't hot; those that don't come back with a count of 2 or more are its own
     alone, are the rarest, and fill the prefix first.
     """
-    from pyspark.sql.window import Window
-
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1 OR extra > 0")
-    tier = F.col("h").bitwiseAND(F.lit(3))
     shared = F.when(F.col("extra") == 0, F.struct(F.col("df"), F.col("h")))
     # rows that repeat an id and text only lengthen its prefix, which is safe
-    own = counted.groupBy("k", tier.alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.max("about").alias("about"), F.sort_array(F.collect_list(shared)).alias("shared"))
+    own = counted.groupBy("k", _tier("h").alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.sort_array(F.collect_list(shared)).alias("shared"))
     # prefix length - (cold - shared) of the shared ones, then the hot ones
     want = (F.col("extra") - F.lit(1 << 40)) + F.size("shared")
     prefix = F.slice("shared", F.lit(1), F.greatest(want, F.lit(0)).cast("int"))
     listed = F.concat(F.transform(prefix, lambda x: x["h"]), F.coalesce("hots", F.array().cast("array<long>")))
-    return own.select(F.explode(listed).alias("h"), "k", F.col("about")[0].alias("n"), *(F.col("about")[i + 1].alias(f"w{i}") for i in range(BITS // 64)))
-
+    return own.select(F.explode(F.array_distinct(listed)).alias("h"), "k")
 
-def close(a: str, b: str, num: int):
-    """Whether sizes and bitmaps of the aliases a and b allow a link: num * union <= 100 * intersection bounds how many
-    shingles two sets of given sizes may differ in, and bitmaps differ in no more bits than that."""
-    both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(BITS // 64)), F.lit(0))
-    return (100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= num * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))) & ((100 + num) * apart <= (100 - num) * both)
 
+def close(a: str, b: str, num: int) -> Column:
+    """Whether sizes, parities and sketches of the aliases a and b allow a link: num * union <= 100 * intersection bounds in
+    how many shingles two sets of given sizes may differ, and parities differ in no more bits; prefixes under orders 2 and 3 share one."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    apart = sum((F.bit_count(x(f"w{i}").bitwiseXOR(y(f"w{i}"))) for i in range(BITS // 64)), F.lit(0))
+    bound = x("share") * (100 - num) * (x("n") + y("n")) / (100 + num)
+    most = F.when(x("share") < 1, bound + MARGIN * F.sqrt(bound) + SPARE).otherwise(bound + 1e-6)
+    out = (100 * F.least(x("n"), y("n")) >= num * F.greatest(x("n"), y("n"))) & (apart <= most)
+    for order in (2, 3):
+        meet = [x(f"o{order}{i}").bitwiseAND(y(f"o{order}{i}")) for i in range(SKETCH // 64)]
+        out &= sum((F.bit_count(m) for m in meet), F.lit(0)) > 0
+    return out
 
-def sets(docs: DataFrame, ids: DataFrame, k: int, num: int, hashed: bool) -> DataFrame:
-    """(k, n, p2, p3, members): the set of each document in `ids` and its prefixes under the two random orders.
 
-    Documents are picked by a bitmap of fixed size; others that fall on the same bits do no harm.
-    """
-    bit = F.pmod(F.xxhash64("k"), F.lit(BITMAP))
-    words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits")).toArrow()  # bounded: BITMAP / 64 rows
-    bitmap = np.zeros(BITMAP >> 6, np.int64)
-    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
-    # with hashed keys a document's bit is known only after its shingles; then all are made and joined
-    rows = docs if hashed else docs.withColumn("__bit", F.pmod(F.xxhash64("__d"), F.lit(BITMAP)))
-
-    def prefix(values: np.ndarray, seed: int, need: int) -> np.ndarray:
-        order = K.mix(values ^ U(seed))
-        first = np.partition(order, need - 1)[:need] if need < len(order) else order
-        return (first >> U(32)).astype(np.uint32).view(np.int32)
+def sets(docs: DataFrame, ids: DataFrame, k: int, num: int, several: np.ndarray) -> DataFrame:
+    """(k, n, p2, p3, members): the set of each document whose id's place `b` is in `ids`, and its prefixes under orders 2 and 3."""
+    shared = docs.sparkSession.sparkContext.broadcast((_bitmap(ids), several))
 
     def run(batches):
-        bits = shared.value
+        wanted, bits = shared.value
+        out, size = [], 0
 
-        def wanted():
+        def picked():
             for batch in batches:
-                if not hashed:
-                    b = batch.column(2).to_numpy()
-                    batch = batch.filter(pa.array((bits[b >> 6] >> (b & 63).astype(np.uint64)) & U(1) == 1))
+                b = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((wanted[b >> 6] >> (b & 63).astype(np.uint64)) & U(1) == 1))
                 if batch.num_rows:
                     yield batch
 
-        out = []
-
         def flush():
             key, n, p2, p3, members = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(p2, pa.list_(pa.int32())), pa.array(p3, pa.list_(pa.int32())), pa.array(members, pa.binary())], ["k", "n", "p2", "p3", "members"])
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(p2, pa.list_(pa.int32())), pa.array(p3, pa.list_(pa.int32())), pa.array(members, pa.list_(pa.int64()))], ["k", "n", "p2", "p3", "members"])
 
-        for d, values, _, _ in _rows(wanted(), k):
-            if d is None or not len(values):
+        for r, batch, values in _rows(picked(), k):
+            d, n = batch.column(0)[r].as_py(), len(values)
+            if d is None or not n:
                 continue
-            digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest() if hashed else b""
-            need = int(missing(np.int64(len(values)), num)) + 1
-            out.append((_key(d, digest, hashed), len(values), prefix(values, 0x5DEECE66D, need), prefix(values, 0x2545F4914F6CDD1D, need), values.tobytes()))
-            if len(out) >= 256:
+            key = _hash(d, _digest(values)) if _has(bits, batch.column(2)[r].as_py()) else d
+            prefixes = ((_first(values, seed, missing(n, num) + 1) >> U(32)).astype(np.uint32).view(np.int32) for seed in SEEDS)
+            out.append((key, n, *prefixes, values.view(np.int64)))
+            size += n
+            if size >= 1 << 17:
                 yield flush()
-                out.clear()
+                out, size = [], 0
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "k long, n long, p2 array<int>, p3 array<int>, members binary")
+    return docs.mapInArrow(lean(run), "k long, n long, p2 array<int>, p3 array<int>, members array<long>")
 
 
 def verified(pairs: DataFrame, kept: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) that link. First lengths and the prefixes under orders 2 and 3 are intersected, then the sets."""
-    light = lambda x: kept.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}"))
-    heavy = lambda x: kept.select(F.col("k").alias(x), F.col("members").alias(f"set_{x}"))
-    near = (100 * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
-    left = pairs.join(light("b"), "b").join(light("a"), "a").filter(near).select("a", "b").distinct()
-    rows = left.join(heavy("b"), "b").join(heavy("a"), "a").select("a", "b", "set_a", "set_b")
-
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+    """The pairs (a, b) that link: first the whole prefixes under orders 2 and 3 are intersected, then the sets."""
+    light = lambda x: kept.select(F.col("k").alias(x), F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}"))
+    heavy = lambda x: kept.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"set_{x}"))
+    left = pairs.join(light("b"), "b").join(light("a"), "a").filter(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b").distinct()
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return left.join(heavy("b"), "b").join(heavy("a"), "a").filter(100 * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,6 +344,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == state or not now[0]:
+            return edges.select(F.col("u").alias("k"), F.col("v").alias("root"))
+        state = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -297,84 +355,113 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = cut(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("k"), F.col("v").alias("root"))
-        state = now
 
 
-def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (doc_id long, text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("__d"), F.col("text").alias("__text"))
+def _links(rows: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(documents: d, t, n, digest, k; (digest, root, copies) of each set that is in a link or has copies; whether an id has several sets)."""
     profile = cut(profiles(rows, k, num), "near-profiles")
-    info = profile.filter("NOT hot").select("d", "n", "digest", F.col("h").alias("hash"), "thin")
-    thin = info.agg(F.max("thin")).first()[0]
-    tiers = ((0, 1.0),) if thin else TIERS
-    # one id with several texts: nodes are (id, text) then
-    hashed = info.filter("d IS NOT NULL").groupBy("d").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").limit(1).count() > 0
-    hot_rows = profile.filter("hot").groupBy("h").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "h").limit(HOT_MAX).select("h").toArrow()
-    hot = np.sort(hot_rows["h"].to_numpy()) if not thin else np.zeros(0, np.int64)
-    posted = cut(postings(shingle_rows(rows, k, num, tiers, hot, hashed)), "near-postings")
-
-    node = F.col("hash") if hashed else F.col("d")
-    nodes = info.filter("d IS NOT NULL AND n > 0").select(node.alias("k"), "d", "n", "digest")
-    # equal sets: a star around the first node of each digest; of several, only that one is compared with others
-    firsts = nodes.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
-    copies = cut(nodes.join(firsts, "digest").filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), "near-copies")
-    if hashed:
-        ids = nodes.groupBy("d").agg(F.min("k").alias("a"), F.max("k").alias("z")).filter("a <> z").select("d", "a")
-        copies = copies.unionAll(nodes.join(ids, "d").filter("k <> a").select("a", F.col("k").alias("b")).distinct())
-    alone = posted.join(copies.select(F.col("b").alias("k")).distinct(), "k", "left_anti") if not hashed else posted
+    documents = profile.filter("kind = 0").select("d", "t", "n", "digest", "h")
+    sets_of = documents.filter("d IS NOT NULL").groupBy("d").agg(F.min("digest").alias("x"), F.max("digest").alias("y"))
+    several = cut(sets_of.filter("x <> y").select(_bit("d").alias("b")).distinct(), "near-several")
+    any_several = several.limit(1).count() > 0
+    bits = _bitmap(several) if any_several else np.zeros(0, np.uint64)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        if not any_several:
+            return df.withColumn("k", F.col("d"))
+        marked = df.withColumn("b", _bit("d")).join(several.withColumn("marked", F.lit(True)), "b", "left")
+        return marked.withColumn("k", F.when(F.col("marked"), F.col("h")).otherwise(F.col("d"))).drop("b", "marked")
+
+    documents = keyed(documents).drop("h")
+    # equal sets are one node: of several, only the first is compared with others
+    firsts = cut(documents.filter("d IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("k").alias("k"), F.min("d").alias("d"), F.count("*").alias("copies")), "near-firsts")
+
+    hot = profile.filter("kind = 1").groupBy("h").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "h").limit(HOT_MAX).select("h").toArrow()["h"].to_numpy()
+    placed = rows.withColumn("__t", _bit("__d"))
+    posted = cut(postings(shingle_rows(placed, k, num, np.sort(hot), bits)).join(firsts.select("k"), "k", "left_semi"), "near-postings")
+
+    # of lists of equal members one is joined; members are compared by two 64-bit hashes of all of them and their number
+    members = posted.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).filter("size > 1")
+    once = members.groupBy(_tier("h").alias("tier"), "size", "x", "y").agg(F.min("h").alias("h")).select("h")
+    told = keyed(profile.filter("kind = 2").select("d", "h", "n", "tier", "facts")).drop("d", "h").dropDuplicates(["k", "tier"])
+    shares = F.element_at(F.array(*(F.lit(float(sampled(i, num))) for i in range(THIN + 1))), F.col("tier") + 1)
     band = F.floor(F.log("n") / float(-np.log(num / 100))).cast("int")
-    many = alone.groupBy("h").agg(F.min("k").alias("x"), F.max("k").alias("y")).filter("x <> y").select("h")
-    lists = cut(alone.join(many, "h").withColumn("band", band), "near-lists")
-    kept = cut(sets(rows, lists.select("k").distinct(), k, num, hashed), "near-sets")
-
+    listed = posted.join(once, "h").withColumn("tier", _tier("h").cast("int")).join(told, ["k", "tier"])
+    lists = cut(listed.select("h", "k", "n", band.alias("band"), shares.alias("share"), *(F.col("facts")[i].alias(x) for i, x in enumerate(FACTS))), "near-lists")
+    wanted = lists.select("k").distinct().join(documents.filter("d IS NOT NULL").select("k", "d").distinct(), "k").select(_bit("d").alias("b")).distinct()
+    repeated = documents.filter("d IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
+    found = sets(placed, wanted, k, num, bits)
+    kept = cut(found.dropDuplicates(["k"]) if repeated else found, "near-sets")
+
+    facts = ["n", "share", *FACTS]
     lot = F.pmod(F.xxhash64("h", "k"), F.lit(LEADERS))
-    facts = ["n", *(f"w{i}" for i in range(BITS // 64))]
     leads = lists.groupBy("h", "band", lot).agg(F.min(F.struct("k", *facts)).alias("lead")).select("h", "band", "lead.*")
     x, y = lists.alias("x"), leads.alias("y")
     near_lead = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.k") != F.col("y.k")) & close("x", "y", num))
     star = cut(near_lead.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct(), "near-star")
-    links = cut(copies.select("a", "b").unionAll(verified(star, kept, num)), "near-links")
+    links = cut(verified(star, kept, num), "near-links")
     first = components(links)
 
     labelled = cut(lists.join(first, "k", "left").withColumn("c", F.coalesce("root", "k")).select("h", "k", "c", *facts), "near-labelled")
     groups = labelled.groupBy("h", "c").agg(F.count("*").alias("size"))
     # of each list that several components meet in, its largest component: pairs are sought for the other members only
-    mixed = groups.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select(F.col("h").alias("mh"), F.col("top.c").alias("top"))
-    mixed = cut(mixed, "near-mixed")
-    x = labelled.join(mixed, F.col("h") == F.col("mh")).filter("c <> top").alias("x")
-    y = labelled.alias("y")
-    once = (F.col("y.c") == F.col("x.top")) | (F.col("x.k") < F.col("y.k"))
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & once & close("x", "y", num))
+    mixed = groups.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.min("c").alias("p"), F.max("c").alias("q"), F.sum("size").alias("size")).filter("p <> q")
+    parts = 1 + F.floor(F.col("size") / SALT).cast("int")
+    mixed = cut(mixed.select("h", F.col("top.c").alias("top"), parts.alias("parts")), "near-mixed")
+    open_lists = labelled.join(mixed, "h")
+    x = open_lists.filter("c <> top").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).alias("x")
+    y = open_lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    one_way = (F.col("y.c") == F.col("x.top")) | (F.col("x.k") < F.col("y.k"))
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & one_way & close("x", "y", num))
     pairs = pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
     late = cut(verified(pairs.join(star, ["a", "b"], "left_anti"), kept, num), "near-late")
     last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(late)) if late.limit(1).count() else first
+    roots = firsts.join(last, "k", "left").select("digest", "d", F.coalesce("root", "k").alias("root"), "copies")
+    return documents, roots, any_several
 
-    if hashed:  # the smallest id of a component of (id, text) nodes
-        of = nodes.select("k", "d").join(last, "k", "left").withColumn("root", F.coalesce("root", "k"))
-        least = of.groupBy("root").agg(F.min("d").alias("component"))
-        labels = of.join(least, "root").groupBy("d").agg(F.min("component").alias("component"))
+
+def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (doc_id long, text)."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("__d"), F.col("text").alias("__text"), F.lit(0).cast("long").alias("__t"))
+    documents, roots, several = _links(rows, k, num)
+    if several:  # the ids of one document pool their links; then a component's root need not be an id
+        linked = documents.filter("d IS NOT NULL AND n > 0").select("d", "digest").distinct().join(roots.select("digest", "root"), "digest").select("d", "root").distinct()
+        pooled = linked.join(linked.groupBy("d").agg(F.min("root").alias("least")), "d").filter("root <> least").select(F.col("least").alias("a"), F.col("root").alias("b"))
+        merged = components(pooled)
+        roots = roots.join(merged.select(F.col("k").alias("root"), F.col("root").alias("__root")), "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+        # an id may have further ids' texts: the least id of a root, over all of its sets
+        roots = roots.join(roots.groupBy("root").agg(F.min("d").alias("component")), "root")
     else:
-        labels = last.select(F.col("k").alias("d"), F.col("root").alias("component"))
-    return info.join(labels, "d", "left").select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "d").alias("component_id"))
+        roots = roots.withColumn("component", F.col("root"))
+    found = join_by_key(documents.drop("t", "k"), cut(roots.select("digest", "component", "copies"), "near-roots"), "digest", "copies")
+    component = F.when(F.col("n") > 0, F.col("component"))
+    if several:  # texts without words, too, have their id's component
+        own = found.filter("d IS NOT NULL").groupBy("d").agg(F.min("component").alias("own"))
+        found = found.join(own, "d", "left")
+        component = F.col("own")
+    return found.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce(component, F.col("d"))).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFrame:
-    """One document of each component (that of the smallest id, once), with all columns; rows of null ids stay."""
-    found = cut(near_components(docs, k, num).filter("doc_id IS NOT NULL").distinct(), "near-components")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    # rows that repeat an id are one document: the first of them stays
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__twice"))
+    """One row of each component, with all columns; see above for which, and for rows of null ids."""
+    ship(docs.sparkSession)
+    keys = [F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__t")]
+    documents, roots, _ = _links(docs.select(keys[0], F.col("text").alias("__text"), keys[1]), k, num)
+    with_roots = join_by_key(documents.filter("d IS NOT NULL").drop("k"), cut(roots.select("digest", "root", "copies"), "near-roots"), "digest", "copies")
+    rooted = cut(with_roots.select("d", "t", F.when(F.col("n") > 0, F.col("root")).alias("root")), "near-rooted")
+    stays = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("d", "t")).alias("s")).select("s.*")
+    linked = rooted.filter("root IS NOT NULL").select("d", "t").distinct()
+    gone = linked.join(stays, ["d", "t"], "left_anti").select(F.col("d").alias("__gone"), F.col("t").alias("__of"))
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *keys).join(gone, (F.col("__d") == F.col("__gone")) & (F.col("__t") == F.col("__of")), "left_anti")
+    twice = cut(rooted.groupBy("d", "t").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias("__twice"), F.col("t").alias("__of")), "near-twice")
     if twice.limit(1).count() == 0:
-        return kept
-    once = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionAll(once)
+        return kept.select("__row.*")
+    same = (F.col("__d") == F.col("__twice")) & (F.col("__t") == F.col("__of"))
+    first = F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.xxhash64("__row")))
+    once = kept.join(twice, same, "left_semi").withColumn("__nth", first).filter("__nth = 1").select("__row.*")
+    return kept.join(twice, same, "left_anti").select("__row.*").unionAll(once)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents"), 4, 85)
