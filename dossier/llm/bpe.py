@@ -1,12 +1,15 @@
 """Byte-level BPE: encoding and decoding by forced-boundary splitting (op3), and the vocabulary helpers op2 shares.
 
-A cut between bytes a|b is *forced* when no vocabulary token holds a followed by b: no merge can ever cross it. A forced
-cut is used only where it also is a border of the pre-tokenizer's pieces whatever surrounds it, namely before ASCII white
-space that follows a character which isn't white space. Every fragment is then encoded on its own and the ids are
-concatenated. Fragments repeat, so each task keeps a bounded memo of them.
+A cut between bytes a|b is *forced* when no vocabulary token holds a followed by b: no merge can ever cross it. Two steps
+use it. First, texts are cut where a forced pair is also sure to be a border of the pre-tokenizer's pieces whatever surrounds
+it: before ASCII white space that follows a character which isn't white space. Such fragments repeat, so each task keeps a
+memo of the short ones, bounded in bytes. Second, a long fragment (text without such a cut) is split into the pre-tokenizer's
+pieces, and these at every forced pair, wherever it lies: inside words, numbers, and scripts without spaces. Every part is
+encoded on its own and the ids are concatenated.
 
 Defined results: a null or empty text has no tokens, its ids string is empty and so is its decoded text. The special
-string inside a text gives its special id. Repeated rows give repeated rows; nothing is grouped or joined.
+string inside a text gives its special id. Repeated rows give repeated rows; nothing is grouped or joined. Extra columns
+play no part. Memory is in proportion to the longest text.
 """
 
 from __future__ import annotations
@@ -17,15 +20,21 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import ship, table
+from dossier.llm import kernel as K
+from dossier.llm.common import lean, ship, table
 
-#: Fragments that a task remembers.
-MEMO = 300_000
+#: Bytes that a task's memo of fragments may hold, bytes that an entry takes besides its strings, and the longest fragment in it.
+MEMO, ENTRY, SHORT = 24 << 20, 300, 64
+#: The split of the byte-level pre-tokenizer, which its files name and don't spell out; fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = b"\t\n\x0b\x0c\r "
 #: UTF-8 tails of the white space characters beyond ASCII (fixed values of Unicode's White_Space property).
 WIDE_WHITE = rb"(?<=\xc2[\x85\xa0])|(?<=\xe1\x9a\x80)|(?<=\xe2\x80[\x80-\x8a\xa8\xa9\xaf])|(?<=\xe2\x81\x9f)|(?<=\xe3\x80\x80)"
@@ -44,28 +53,47 @@ class ByteBPE:
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
+        pre = spec["pre_tokenizer"] or {}
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec["normalizer"] or spec["model"]["type"] != "BPE":
+            raise ValueError(f"{path} isn't plain byte-level BPE")
         to_byte = {c: b for b, c in enumerate(_byte_alphabet())}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.bytes_of = {i: token for token, i in ranks.items()} | {i: s.encode() for s, i in self.special.items()}
-        # the usual split of byte-level BPE; fixed value
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.core = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
-        self.inside = [bytearray(256) for _ in range(256)]  # inside[b][a]: some token holds a followed by b
+        self.core = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=self.special)
+        self.together = np.zeros((256, 256), bool)  # together[a, b]: some token holds a followed by b
         for token in ranks:
-            for a, b in zip(token, token[1:]):
-                self.inside[b][a] = 1
+            raw = np.frombuffer(token, np.uint8)
+            self.together[raw[:-1], raw[1:]] = True
+        self.piece = regex.compile(SPLIT)
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text as the file's own library gives them, special strings included."""
         return self.core.encode(text, allowed_special="all", disallowed_special=())
 
+    def forced(self, raw: bytes) -> list[int]:
+        """Places of all forced cuts: between two bytes that no token holds side by side."""
+        data = np.frombuffer(raw, np.uint8)
+        return (np.flatnonzero(~self.together[data[:-1], data[1:]]) + 1).tolist()
+
+    def encode_long(self, text: str) -> list[int]:
+        """Ids of a text without special strings: the pre-tokenizer's pieces are cut at every forced pair."""
+        out: list[int] = []
+        for m in self.piece.finditer(text):
+            raw = m[0].encode()
+            if len(raw) <= SHORT:
+                out += self.core._encode_single_piece(raw)
+            else:
+                for begin, end in pairwise([0, *self.forced(raw), len(raw)]):
+                    out += self.core._encode_single_piece(raw[begin:end])
+        return out
+
     def fragment_pattern(self) -> re.Pattern[bytes]:
         """Matches one fragment after another of UTF-8 text: cuts only where the byte pair is forced and the split is sure."""
         not_forced = []
         for b in WHITE:
-            if prior := bytes(a for a in range(256) if self.inside[b][a] and a not in WHITE):
+            if prior := bytes(a for a in range(256) if self.together[a, b] and a not in WHITE):
                 not_forced.append(b"(?<=[" + re.escape(prior) + b"])" + re.escape(bytes([b])))
         uncut = b"|".join([*not_forced, b"(?:" + WIDE_WHITE + rb")[\t-\r ]"])
         return re.compile(rb"[\t-\r ]*(?:[^\t-\r ]+(?:(?:" + uncut + rb")[\t-\r ]*)?)+|[\t-\r ]+")
@@ -88,16 +116,20 @@ def load(path: str) -> ByteBPE:
 
 
 class _Memo(dict):
-    """fragment -> what `make` says of it; forgets all when full, so memory is bounded."""
+    """fragment -> what `make` says of it; long ones aren't kept, and all are forgotten at MEMO bytes."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, 0
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if len(key) <= SHORT:
+            self.size += len(key) + len(out[0]) + len(out[1]) + ENTRY
+            if self.size > MEMO:
+                self.clear()
+                self.size = 0
+            self[key] = out
         return out
 
 
@@ -110,7 +142,8 @@ class Codec:
         self.memo = _Memo(self._fragment)
 
     def _fragment(self, piece: bytes) -> tuple[str, bytes]:
-        ids = self.bpe.core.encode_ordinary(piece.decode())
+        text = piece.decode()
+        ids = self.bpe.core.encode_ordinary(text) if len(piece) <= SHORT else self.bpe.encode_long(text)
         return ",".join(map(str, ids)), b"".join(map(self.bpe.bytes_of.__getitem__, ids))
 
     def pieces(self, text: str) -> list[tuple[str, bytes]]:
@@ -148,8 +181,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch, _, _ in K.slices(whole, "__text"):
                 n, ids_sha, back_sha, all_ids, all_back = [], [], [], [], []
                 for x in batch.column(len(keep)):
                     count, ids, back = codec.round_trip(x.as_py() or "")
@@ -157,13 +189,13 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     back_sha.append(hashlib.sha256(back.encode()).hexdigest())
                     if with_ids:
-                        all_ids.append([int(i) for i in ids.split(",")] if ids else [])
+                        all_ids.append(np.array(ids.split(",") if ids else [], np.int32))
                         all_back.append(back)
                 columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_back, pa.string())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
