@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.bpe import op3_bpe_round_trip
 from dossier.llm.jpeg import op7_baseline_jpeg
-from dossier.llm import licenses, mixing, secrets
+from dossier.llm import licenses, secrets
 from dossier.llm.licenses import op10_license_digests
 from dossier.llm.mixing import op1_mix_sources
 from dossier.llm.near import op4_jaccard_join
@@ -31,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_digests": op10_license_digests,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op6_secret_owners": secrets.SQL, "op10_license_digests": licenses.sql()}
+#: The flow of op1 is beyond SQL; the tests hold it against enumeration and its rows against the contract.
+ORACLES: dict[str, str] = {"op6_secret_owners": secrets.SQL, "op10_license_digests": licenses.sql()}
