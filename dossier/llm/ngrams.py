@@ -1,11 +1,14 @@
 """Character n-gram counts of each language as a table, and their modified Kneser-Ney costs (for op5).
 
 Symbols are code points (ASCII letters without case, white space as one blank), so the alphabet is open and every language
-is apart. The distinct n-grams of order ORDER are rows (lang, a, b, n) of a table that grows with the corpus: b packs the
-last three code points, a those before. Lower orders are counts of left contexts, made from it by grouping; nothing of the
-model is held whole anywhere. A gram is found by the 64-bit hash of (lang, a, b): the table of costs is cut into ranges of
-that hash of about SLICE keys each, which are broadcast one after the other and searched one after the other, so that
-neither the driver nor a worker holds more than one of them.
+is apart. The distinct n-grams of order ORDER are rows (key, lang, a, b, n) of a table that grows with the corpus: b packs
+the last three code points, a those before, and key is the 64-bit hash of (lang, a, b) that the gram is found by. Lower
+orders are counts of left contexts, made from it by grouping; nothing of the model is held whole anywhere.
+
+The costs are sorted hash arrays, cut into ranges of about SLICE keys that are broadcast. With one range each block of text
+is looked up in it. With more, a task holds HOLD bytes of text (or the blocks of HELD distinct grams), reads one range after
+the other for their distinct grams only, and scores the held blocks from what it found, so neither the driver nor a worker
+holds more than one range, and ranges are read once for many blocks.
 
 Counts are integers and each cost is one expression of them, so results don't depend on partitions or order.
 """
@@ -21,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kernel as K
-from dossier.llm.common import cut, ship
+from dossier.llm.common import cut, lean, ship
 
 ORDER, POINT = 5, 21
-#: Fixed-point logarithms: this many to a bit.
-SCALE = 4096
+#: Fixed-point logarithms: this many to a bit. Costs end at -log2 LEAST, below 2**16 of them.
+SCALE, LEAST = 1024, 1e-12
 #: Distinct grams that a counting task holds before it sends them on, and keys of a range of the table of costs.
-RUN, SLICE = 1 << 20, 1 << 22
+RUN, SLICE = 1 << 19, 1 << 21
+#: Bytes of text and distinct grams that a task holds for one reading of all ranges, and bytes of a long text at a time.
+HOLD, HELD, WINDOW = 1 << 25, 1 << 21, 1 << 19
 FOLD = np.arange(256, dtype=np.int64)
 FOLD[65:91] += 32
 FOLD[K.SPACE] = 32
@@ -63,6 +68,25 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return a, b, offset
 
 
+def gram_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """a, b and row offsets of a run of rows; a single long row comes in several such runs."""
+    if len(at) != 2 or len(data) <= 2 * WINDOW:
+        yield grams(data, at)
+        return
+    begin = 0
+    while begin < len(data):
+        end = min(begin + WINDOW, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        back, context = begin, 0
+        while back and context < ORDER - 1:
+            back -= 1
+            context += int(data[back] & 0xC0 != 0x80)
+        a, b, _ = grams(data[back:end], np.array([0, end - back]))
+        yield a[context:], b[context:], np.array([0, len(a) - context])
+        begin = end
+
+
 def keys(lang: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     u = np.uint64
     return K.mix(K.mix(lang.view(u) ^ (a.view(u) * u(K.BASE))) + b.view(u)).view(np.int64)
@@ -75,7 +99,7 @@ def _rows_langs(batch: pa.RecordBatch, offset: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, a, b, n): how often each gram of each language occurs in all documents."""
+    """(key, lang, a, b, n): how often each gram of each language occurs in all documents."""
     ship(docs.sparkSession)
 
     def merged(held: list) -> tuple:
@@ -87,16 +111,16 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         held, size = [], 0
 
         def rows(x: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in x[1:]], ["lang", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["key", "lang", "a", "b", "n"])
 
         for whole in batches:
             for batch, data, at in K.slices(whole, "__text"):
-                a, b, offset = grams(data, at)
-                of = _rows_langs(batch, offset)
-                key = keys(of, a, b)
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                held.append((key[first], of[first], a[first], b[first], n))
-                size += len(first)
+                for a, b, offset in gram_runs(data, at):
+                    of = _rows_langs(batch, offset)
+                    key = keys(of, a, b)
+                    _, first, n = np.unique(key, return_index=True, return_counts=True)
+                    held.append((key[first], of[first], a[first], b[first], n))
+                    size += len(first)
                 if size >= RUN:
                     held = [merged(held)]
                     size = len(held[0][0])
@@ -106,12 +130,12 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         if held:
             yield rows(merged(held))
 
-    part = docs.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).mapInArrow(run, "lang long, a long, b long, n long")
-    return part.groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    part = docs.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).mapInArrow(lean(run), "key long, lang long, a long, b long, n long")
+    return part.groupBy("key", "lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def probabilities(counted: DataFrame) -> DataFrame:
-    """(lang, a, b, p): the interpolated modified Kneser-Ney probability of each counted gram's last symbol."""
+    """(key, lang, a, b, p): the interpolated modified Kneser-Ney probability of each counted gram's last symbol."""
     mask = lambda k: F.lit((1 << POINT * k) - 1)
     a, b, none = F.col("a"), F.col("b"), F.lit(0).cast("long")
     #: the same gram without its first symbol, by order
@@ -138,49 +162,31 @@ def probabilities(counted: DataFrame) -> DataFrame:
         n = F.col("n")
         off = F.when(n >= 3, F.col("d3")).when(n == 2, F.col("d2")).otherwise(F.col("d1"))
         back = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
-        p = rows.select("lang", "a", "b", ((n - off + back * F.col("less")) / F.col("total")).alias("p"))
+        p = rows.select(*(["key"] if k == ORDER else []), "lang", "a", "b", ((n - off + back * F.col("less")) / F.col("total")).alias("p"))
     return p
 
 
 class Model:
-    """Ranges of the table of costs, broadcast; every gram of a document that was counted is in one of them."""
+    """Sorted hash arrays of (key, cost), broadcast in ranges; every gram of a document that was counted is in one of them."""
 
     def __init__(self, table: DataFrame):
         spark = table.sparkSession
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lang, a, b, p = (c.to_numpy() for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array(keys(lang, a, b)), pa.array(np.rint(-np.log2(np.maximum(p, 1e-12)) * SCALE).astype(np.int32))], ["key", "cost"])
-
-        costs = cut(table.mapInArrow(run, "key long, cost int"), "quality-costs")
+        cost = F.rint(-F.log2(F.greatest("p", F.lit(LEAST))) * SCALE).cast("int")
+        costs = cut(table.select("key", cost.alias("cost")), "quality-costs")
         n = max(1, -(-costs.count() // SLICE))
         edges = [(-1 << 63) + (i << 64) // n for i in range(n)]
-        self.ranges, self.finders = [], {}
+        self.ranges = []
         for i, least in enumerate(edges):
             some = costs.filter(F.col("key") >= least) if i + 1 == n else costs.filter((F.col("key") >= least) & (F.col("key") < edges[i + 1]))
             got = some.toArrow()  # bounded: about SLICE rows
-            key, cost = got["key"].to_numpy(), got["cost"].to_numpy()
+            key, cost = ordered(got["key"].to_numpy()), got["cost"].to_numpy().astype(np.uint16)
             order = np.argsort(key)
             self.ranges.append(spark.sparkContext.broadcast((key[order], cost[order])))
 
-    @property
-    def block(self) -> int:
-        """Bytes of text to look up at a time: more where the ranges have to be read in turn."""
-        return K.BLOCK if len(self.ranges) == 1 else 4 * K.BLOCK
-
-    def costs(self, key: np.ndarray) -> np.ndarray:
-        """Cost of each gram, in 1/4096 bit; runs on executors."""
-        out = np.zeros(len(key), np.int64)
-        x = ordered(key)
-        for i, r in enumerate(self.ranges):
-            found = self.finders.get(i) or Finder(*r.value)
-            found.add(x, out)
-            if len(self.ranges) == 1:
-                self.finders[i] = found
-            elif hasattr(r, "_value"):
-                del r._value
-        return out
+    def close(self) -> None:
+        """Takes the ranges from all nodes; only after what was scored with them has been written."""
+        for r in self.ranges:
+            r.destroy()
 
 
 def ordered(key: np.ndarray) -> np.ndarray:
@@ -192,14 +198,13 @@ class Finder:
     """Sorted keys with the place where each run of leading bits starts; keys are hashes, so such a run holds about one."""
 
     def __init__(self, key: np.ndarray, cost: np.ndarray):
-        self.key, self.cost = ordered(key), cost
+        self.key, self.cost = key, cost
         if not len(key):
             return
-        low, span = self.key[0], int(self.key[-1] - self.key[0])
-        self.shift = np.uint64(max(0, span.bit_length() - (2 * len(key)).bit_length()))
-        self.low = low
-        bucket = ((self.key - low) >> self.shift).astype(np.int64)
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(bucket))]).astype(np.int32)
+        self.low, span = key[0], int(key[-1] - key[0])
+        self.shift = np.uint64(max(0, span.bit_length() - len(key).bit_length()))
+        bucket = (key - self.low) >> self.shift
+        self.start = np.searchsorted(bucket, np.arange(int(bucket[-1]) + 2, dtype=np.uint64)).astype(np.int32)
 
     def add(self, x: np.ndarray, out: np.ndarray) -> None:
         """Adds to `out` the cost of each key that is here."""
@@ -225,8 +230,59 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(probabilities(cut(counts(docs, text, lang), "quality-grams")))
 
 
-def symbol_costs(model: Model, batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the costs of each row's symbols, and their number; the language is the batch's last column."""
-    a, b, offset = grams(data, at)
-    total = np.concatenate([[0], np.cumsum(model.costs(keys(_rows_langs(batch, offset), a, b)))])
-    return total[offset[1:]] - total[offset[:-1]], np.diff(offset)
+Part = tuple[pa.RecordBatch, np.ndarray, np.ndarray]
+
+
+def _keys_of(part: Part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    batch, data, at = part
+    for a, b, offset in gram_runs(data, at):
+        yield ordered(keys(_rows_langs(batch, offset), a, b)), offset
+
+
+def _sums(part: Part, finder: Finder) -> tuple[np.ndarray, np.ndarray]:
+    total, symbols = np.zeros(part[0].num_rows, np.int64), np.zeros(part[0].num_rows, np.int64)
+    for key, offset in _keys_of(part):
+        cost = np.zeros(len(key), np.int64)
+        finder.add(key, cost)
+        upto = np.concatenate([[0], np.cumsum(cost)])
+        total += upto[offset[1:]] - upto[offset[:-1]]
+        symbols += np.diff(offset)
+    return total, symbols
+
+
+def symbol_costs(model: Model, parts: Iterator[Part]) -> Iterator[tuple[Part, np.ndarray, np.ndarray]]:
+    """Of each part (rows, their bytes and offsets; the language is the last column): the sum of the costs of each row's
+    symbols, in 1/SCALE bit, and their number. Runs on executors."""
+    if len(model.ranges) == 1:
+        finder = Finder(*model.ranges[0].value)
+        for part in parts:
+            yield part, *_sums(part, finder)
+        return
+    held: list[Part] = []
+    seen: list[np.ndarray] = []
+    size = grams_held = 0
+
+    def flush() -> Iterator[tuple[Part, np.ndarray, np.ndarray]]:
+        key = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+        cost = np.zeros(len(key), np.int64)
+        for r in model.ranges:
+            Finder(*r.value).add(key, cost)
+            if hasattr(r, "_value"):
+                del r._value
+        finder = Finder(key, cost)
+        for part in held:
+            yield part, *_sums(part, finder)
+
+    for part in parts:
+        held.append(part)
+        fresh = [np.unique(key) for key, _ in _keys_of(part)]
+        seen += fresh
+        size += len(part[1])
+        grams_held += sum(map(len, fresh))
+        if grams_held >= HELD:
+            seen = [np.unique(np.concatenate(seen))]
+            grams_held = len(seen[0])
+        if size >= HOLD or 2 * grams_held >= HELD:
+            yield from flush()
+            held, seen, size, grams_held = [], [], 0, 0
+    yield from flush()

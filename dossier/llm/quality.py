@@ -7,7 +7,8 @@ A document's cost is its mean bits a symbol. For each language the bits of all d
 histogram; the band runs from LOW spreads under the median to HIGH spreads above it, a spread being the distance from the
 median to the upper (lower) quartile, at least HIGH_FLOOR (FLOOR) bits. Documents outside their language's band are rejected.
 
-Sums are of integers (logarithms in 1/4096 bit), so results don't depend on partitions or order.
+Sums are of integers (logarithms in 1/1024 bit), so results don't depend on partitions or order. A filtering stage reads
+each text twice: once to count, once to score; the scored rows are written and both the bands and the verdict read those.
 
 Defined results: a null or empty text has no words and fails the base rules. A null language is a language of its own.
 Repeated rows count as often as they occur. Empty tables give no rows.
@@ -25,28 +26,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dossier.llm import kernel as K, ngrams
-from dossier.llm.common import cut, ship, table
+from dossier.llm.common import cut, lean, ship, table
 
-#: A dense model over 32 symbols, to hold the estimate's formula against; documents are scored by `ngrams`.
-ORDER, BITS = 4, 5
-CODES = 1 << (ORDER * BITS)
 #: Histogram bins: this many to a bit.
 BINS = 1024
 #: Six spreads are four standard deviations of a normal distribution. Least spreads above and below the median, in bits.
 HIGH, LOW, HIGH_FLOOR, FLOOR = 6.0, 4.0, 0.01, 0.05
 MIN_WORDS = 50
 
-#: Symbol of each UTF-8 lead byte; 255 for continuation bytes.
-SYMBOL = np.full(256, 29, np.uint8)
-SYMBOL[0x80:0xC0] = 255
-for _c in range(26):
-    SYMBOL[[65 + _c, 97 + _c]] = _c
-SYMBOL[[0x20, *range(0x09, 0x0E)]] = 26
-SYMBOL[0x30:0x3A] = 27
-SYMBOL[[*b".,;:!?'\"-()"]] = 28
-SYMBOL[0xC2:0xC9] = 30
-SYMBOL[0xC9:0x100] = 31
-
 MARK = np.zeros(256, bool)
 MARK[[*b"#*$%&|<>"]] = True
 
@@ -100,61 +87,36 @@ def base_features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat)]
 
 
-def codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram code that ends at each symbol (as if white space came before the row), and the rows' offsets."""
-    symbol = SYMBOL[data]
-    real = symbol != 255
-    offset = np.concatenate([[0], np.cumsum(real)])[at]
-    symbol = np.insert(symbol[real], np.repeat(offset[:-1], ORDER - 1), 26).astype(np.int32)
-    out = symbol[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        out |= symbol[ORDER - 1 - k : len(symbol) - k] << (BITS * k)
-    if len(at) > 2:  # windows that end in the padding of a later row are none
-        pad = (offset[1:-1] + (ORDER - 1) * np.arange(len(at) - 2))[:, None] + np.arange(ORDER - 1)
-        keep = np.ones(len(out), bool)
-        keep[pad.ravel()] = False
-        out = out[keep]
-    return out, offset
-
-
-def kneser_ney(count: np.ndarray) -> np.ndarray:
-    """Interpolated modified Kneser-Ney probabilities of every 4-gram's last symbol."""
-    size = 1 << BITS
-    levels = [count]
-    for _ in range(ORDER - 1):  # of the lower orders: in how many left contexts each gram occurs
-        levels.append((levels[-1] > 0).reshape(size, -1).sum(axis=0))
-    p = np.full(size, 1.0 / size)
-    for c in reversed(levels):
-        c = c.reshape(-1, size).astype(np.float64)
-        n = [float((c == k).sum()) for k in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) if n[k - 1] and n[k] else 0.5 * k for k in (1, 2, 3)]
-        discount = np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0.0)))
-        total = c.sum(axis=1, keepdims=True)
-        seen = total > 0
-        lower = np.broadcast_to(p.reshape(1, -1, size), (max(c.shape[0] // max(p.size // size, 1), 1), max(p.size // size, 1), size)).reshape(-1, size)
-        p = np.where(seen, (c - discount + discount.sum(axis=1, keepdims=True) * lower) / np.where(seen, total, 1.0), lower)
-    return np.maximum(p.ravel(), 1e-12)
-
-
 def score(docs: DataFrame, model: ngrams.Model, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """`keep` columns, the base figures, base_failed, and the bin (1/1024 bit) of the mean cost of a symbol; null without symbols."""
-    spark = docs.sparkSession
-    ship(spark)
-    kept = docs.select(*keep, F.col(text).alias("__text"), F.col(lang).alias("__lang"))
-    schema = T.StructType([*kept.select(*keep).schema, *T._parse_datatype_string(f"{BASE_FIELDS}, base_failed boolean, __bin long")])
+    rows = docs.select(*keep, F.col(text).alias("__text"), F.col(lang).alias("__lang"))
+    return _scored(rows, model, keep, lambda batch: batch)
+
+
+def score_rows(docs: DataFrame, model: ngrams.Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """As `score`, for whole rows: __row has all columns of `docs`, so a text crosses to Python once."""
+    places = [docs.columns.index(c) for c in (text, lang)]
+
+    def apart(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(0).field(i) for i in places)], ["__row", "__text", "__lang"])
+
+    return _scored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")), model, ["__row"], apart)
+
+
+def _scored(rows: DataFrame, model: ngrams.Model, keep: list[str], shaped) -> DataFrame:
+    ship(rows.sparkSession)
+    schema = T.StructType([*rows.select(*keep).schema, *T._parse_datatype_string(f"{BASE_FIELDS}, base_failed boolean, __bin long")])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch, data, at in K.slices(whole, "__text", model.block):
-                base = base_features(data, at)
-                failed = (base[0] < MIN_WORDS) | (100 * base[4] > 50 * base[0])
-                total, n = ngrams.symbol_costs(model, batch, data, at)
-                bins = total * BINS // (np.maximum(n, 1) * ngrams.SCALE)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, base), pa.array(failed), pa.array(bins, mask=n == 0)], names)
+        parts = (part for whole in batches for part in K.slices(shaped(whole), "__text"))
+        for (batch, data, at), total, n in ngrams.symbol_costs(model, parts):
+            base = base_features(data, at)
+            failed = (base[0] < MIN_WORDS) | (100 * base[4] > 50 * base[0])
+            bins = total * BINS // (np.maximum(n, 1) * ngrams.SCALE)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, base), pa.array(failed), pa.array(bins, mask=n == 0)], names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def bands(scored: DataFrame, lang: str = "lang", high: float = HIGH, low: float = LOW, floor: float = FLOOR, high_floor: float = HIGH_FLOOR) -> DataFrame:
@@ -180,17 +142,19 @@ def judge(scored: DataFrame, band: DataFrame, lang: str = "lang") -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, base_failed, kept and bits_per_symbol of every document."""
     docs = docs.select("doc_id", "text", "lang")
-    scored = cut(score(docs, ngrams.fit(docs), ["doc_id", "lang"]), "quality")
+    model = ngrams.fit(docs)
+    scored = cut(score(docs, model, ["doc_id", "lang"]), "quality")
+    model.close()
     return judge(scored, cut(bands(scored), "quality-bands")).drop("lang")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    plain = docs.select("text", "lang")
-    model = ngrams.fit(plain)
-    band = cut(bands(score(plain, model, ["lang"])), "quality-bands")
-    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
-    return judge(score(wrapped, model, ["__row", "lang"]), band).filter("kept").select("__row.*")
+    model = ngrams.fit(docs.select("text", "lang"))
+    scored = cut(score_rows(docs, model), "quality-rows")
+    model.close()
+    judged = judge(scored.select("*", F.col("__row.lang").alias("__lang")), cut(bands(scored.select(F.col("__row.lang").alias("__lang"), "base_failed", "__bin"), "__lang"), "quality-bands"), "__lang")
+    return judged.filter("kept").select("__row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
