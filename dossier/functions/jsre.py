@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WS_IN = r"\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = f"[{WS_IN}]"
 WS_NO_FEED = WS.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")
+#: The same characters as a string.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Any character but line ends; end of text.
 ANY, END = r"[^\n\r\x{2028}\x{2029}]", r"\z"
 NOT_AFTER_WORD, NOT_BEFORE_WORD = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.config import Config
+from dossier.functions.arrays import bind, split_at
 from dossier.functions.jsre import ANY, END, NOT_AFTER_WORD, WS, WS_IN, WS_NO_FEED, group, literal, quote, some, sub, trim
 
 
@@ -41,41 +42,63 @@ def spaces(text: Column) -> Column:
     return sub(text, " {2,}", " ")
 
 
+#: A line of a text, as a table's row: what it opens, and whether it may continue the row before.
+_LINE = "struct<line:string,bare:string,more:boolean,opens:boolean,category:string,items:string,continues:boolean>"
+
+
 def tables(text: Column, config: Config) -> Column:
-    """Flattened skill tables become `category: items` lines, continuation lines included: a fold over the lines.
+    """Flattened skill tables become `category: items` lines, continuation lines included.
 
-    The state holds the finished lines and the row that is still open. A line first tries to continue the open row.
+    Every line is taken apart once. A fold over the lines whose state is whether a row is open tells which lines continue
+    the row before (a line first tries that); then rows are put together from their lines.
     """
     if not config.table_categories:
         return text
     names = "|".join(map(quote, sorted(config.table_categories, key=len, reverse=True)))
     named = rf"(?iu)\A({names}){WS}+([A-Za-z0-9#.+]{ANY}+){END}"
     wide = rf"\A([A-Za-z][A-Za-z{WS_IN}&/()-]{{2,40}}?){WS}{{2,}}([A-Za-z0-9#.+]{ANY}+){END}"
-    none = F.lit(None).cast("string")
-
-    def closed(state: Column) -> Column:
-        items = trim(sub(sub(state["items"], f"{WS}*,{WS}*", ", "), f",+{END}"))
-        return F.when(state["category"].isNull(), state["out"]).otherwise(F.array_append(state["out"], F.concat(state["category"], F.lit(": "), items)))
-
-    def step(state: Column, line: Column) -> Column:
-        bare = trim(line)
-        more = line.rlike(rf"\A{WS}{{2,}}[A-Za-z0-9#.+]") | (bare.rlike(r"\A[A-Z]") & F.contains(bare, F.lit(",")) & ~bare.rlike(named) & (F.length(bare) < config.table_max_chars))
-        is_named = bare.rlike(named)
-        is_wide = ~is_named & line.rlike(wide) & F.contains(group(line, wide, 2), F.lit(","))
-        category = trim(F.when(is_named, group(bare, named, 1)).otherwise(group(line, wide, 1)))
-        items = trim(F.when(is_named, group(bare, named, 2)).otherwise(group(line, wide, 2)))
-        words = F.size(F.split(items, f"{WS}+"))
-        prose = (words > config.table_max_words) | (~F.contains(items, F.lit(",")) & (words > 5))
-        opens = (is_named | is_wide) & ~prose
-        out = closed(state)
-        return (
-            F.when(state["category"].isNotNull() & more, F.struct(state["out"].alias("out"), state["category"].alias("category"), F.concat(state["items"], F.lit(" "), bare).alias("items")))
-            .when(opens, F.struct(out.alias("out"), category.alias("category"), items.alias("items")))
-            .otherwise(F.struct(F.array_append(out, line).alias("out"), none.alias("category"), none.alias("items")))
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), none.alias("category"), none.alias("items"))
-    return F.aggregate(F.split(text, "\n"), start, step, lambda s: F.array_join(closed(s), "\n"))
+
+    def parsed(lines: Column) -> Column:
+        """Each line taken apart, step by step, so that no pattern is matched twice."""
+
+        def with_(x: Column, **more: Column) -> Column:
+            return F.struct(*(x[f].alias(f) for f in ("line", "bare")), *(v.alias(k) for k, v in more.items()))
+
+        bare = F.transform(lines, lambda x: F.struct(x.alias("line"), trim(x).alias("bare")))
+        kinds = F.transform(bare, lambda x: with_(x, named=x["bare"].rlike(named), wide=x["line"].rlike(wide)))
+
+        def items(x: Column) -> Column:
+            part = lambda n: trim(F.when(x["named"], group(x["bare"], named, n)).when(x["wide"], group(x["line"], wide, n)).otherwise(""))
+            begins = x["bare"].rlike(r"\A[A-Z]") & F.contains(x["bare"], F.lit(",")) & ~x["named"] & (F.length(x["bare"]) < config.table_max_chars)
+            return with_(x, named=x["named"], more=x["line"].rlike(rf"\A{WS}{{2,}}[A-Za-z0-9#.+]") | begins, category=part(1), items=part(2))
+
+        def opens(x: Column) -> Column:
+            words = F.size(F.split(x["items"], f"{WS}+"))
+            listed = F.contains(x["items"], F.lit(","))
+            # a line that matches neither pattern has no items, so it isn't listed
+            fit = (x["named"] | listed) & (words <= config.table_max_words) & (listed | (words <= 5))
+            return with_(x, more=x["more"], opens=fit, category=x["category"], items=x["items"])
+
+        return F.transform(F.transform(kinds, items), opens)
+
+    def marked(lines: Column) -> Column:
+        """The lines with whether they continue a row; the fold's state is a mark for each line and whether a row is open."""
+        start = F.struct(F.lit("").alias("marks"), F.lit(False).alias("open"))
+
+        def step(state: Column, x: Column) -> Column:
+            joins = state["open"] & x["more"]
+            return F.struct(F.concat(state["marks"], F.when(joins, "+").otherwise("-")).alias("marks"), (joins | x["opens"]).alias("open"))
+
+        marks = F.split(F.aggregate(lines, start, step, lambda s: s["marks"]), "")
+        return F.zip_with(lines, F.slice(marks, F.lit(1), F.size(lines)), lambda x, m: F.struct(*(x[f].alias(f) for f in ("line", "bare", "more", "opens", "category", "items")), (m == "+").alias("continues")))
+
+    def row(lines: Column) -> Column:
+        items = F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, x["items"]).otherwise(x["bare"])), " ")
+        said = trim(sub(sub(items, f"{WS}*,{WS}*", ", "), f",+{END}"))
+        return F.when(lines[0]["opens"], F.concat(lines[0]["category"], F.lit(": "), said)).otherwise(lines[0]["line"])
+
+    rows = split_at(bind(parsed(F.split(text, "\n")), marked), lambda xs, i: ~xs[i]["continues"], f"array<{_LINE}>")
+    return F.array_join(F.transform(rows, row), "\n")
 
 
 def normalize(text: Column, config: Config) -> Column:
@@ -103,7 +126,7 @@ def _alias(text: Column, aliases: dict[str, str]) -> Column:
     if not aliases:
         return text
     known = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
-    return F.coalesce(some(F.try_element_at(known, F.lower(text))), text)
+    return bind(text, lambda t: F.coalesce(some(F.try_element_at(known, F.lower(t))), t))
 
 
 def skill_name(text: Column, config: Config) -> Column:

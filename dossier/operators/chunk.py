@@ -1,16 +1,20 @@
 """Texts to windows of a token limit: paragraphs packed in order, an oversized one split at sentences.
 
-The token count is a Column function, so a count by characters or words stays in the JVM; `token_udf` wraps a tokenizer.
+A count that is a Column function (by characters, say) stays in the JVM. A tokenizer can't be called inside a fold, so with a
+`Counter` the same packing runs in an Arrow pass, on real counts of every joined candidate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.jsre import WS, trim
+from dossier.functions.jsre import SPACES, WS, trim
 from dossier.operators.spans import empty
 from dossier.schema import CHUNKS
 
@@ -77,15 +81,71 @@ def rebase(spans: Column, offset: Column) -> Column:
     return F.transform(spans, lambda s: s.withField("start", s["start"] + offset).withField("end", s["end"] + offset))
 
 
-def token_udf(path: str) -> Count:
-    """Count of a tokenizer file's tokens, as an Arrow-batched UDF. Not usable inside a fold; count beforehand or by chunk."""
-    import pandas as pd
+@dataclass(frozen=True)
+class Counter:
+    """Makes, on a worker, the function that counts a text's tokens."""
 
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
+    factory: Callable[[], Callable[[str], int]]
+
+
+def tokenizer(path: str) -> Counter:
+    """Counts of a tokenizer file's tokens, without special ones."""
+
+    def factory() -> Callable[[str], int]:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        return pd.Series([len(x.ids) for x in made.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
-
-    return count
+        return lambda text: len(made.encode(text, add_special_tokens=False).ids)
+
+    return Counter(factory)
+
+
+_SENTENCE = re.compile(rf"(?<=\.)[{SPACES}]+")
+
+
+def pack_sentences(section: str, offset: int, count: Callable[[str], int], limit: int) -> Iterator[tuple[str, int]]:
+    now = None
+    for sentence in _SENTENCE.split(section):
+        both = sentence if now is None else f"{now} {sentence}"
+        if now is not None and count(both) > limit:
+            yield now, offset
+            offset, now = offset + len(now) + 1, sentence
+        else:
+            now = both
+    if now is not None:
+        yield now, offset
+
+
+def pack(text: str, count: Callable[[str], int], limit: int = LIMIT) -> list[tuple[str, int]]:
+    """(text, offset) of a text's chunks, as `chunks` gives them."""
+    if count(text) <= limit:
+        return [(text, 0)]
+    out: list[tuple[str, int]] = []
+    now, at = None, 0
+    for section in re.split(r"\n{2,}", text):
+        if not section.strip(SPACES):
+            continue
+        here = text.find(section, at)
+        both = section if now is None else f"{now}\n\n{section}"
+        if count(both) <= limit:
+            now, at = both, here if now is None else at
+        elif now is not None:
+            out.append((now, at))
+            now, at = section, here
+        else:
+            out += pack_sentences(section, here, count, limit)
+            at = here + len(section)
+    return out if now is None else [*out, (now, at)]
+
+
+def chunk_texts(text: Column, counter: Counter, limit: int = LIMIT) -> Column:
+    """As `chunks`, with a tokenizer's counts; null texts have no chunks."""
+    factory = counter.factory
+
+    @F.pandas_udf(CHUNKS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = factory()
+        for texts in batches:
+            yield pd.Series([None if x is None else [{"text": t, "offset": o} for t, o in pack(x, count, limit)] for x in texts])
+
+    return run(text)

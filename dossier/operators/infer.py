@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.config import Config
+from dossier.functions.arrays import bind
 from dossier.functions.jsre import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, group, in_list, quote, some, sub, trim
 
 #: Month names in the order in which they are tried, and their numbers from 0; fixed values.
@@ -39,7 +40,11 @@ def experience_years(roles: Column, config: Config, as_of: Column) -> Column:
 
 def seniority(roles: Column, years: Column, config: Config) -> Column:
     """The first level with a keyword in any title; else by years; else by the number of roles."""
-    titles = F.transform(roles, lambda r: F.lower(r["title"]))
+    return bind(F.struct(F.transform(roles, lambda r: F.lower(r["title"])).alias("titles"), years.alias("years"), F.size(roles).alias("n")), lambda x: _level(x, config))
+
+
+def _level(x: Column, config: Config) -> Column:
+    titles, years = x["titles"], x["years"]
     out = F.when(F.lit(False), F.lit(""))
     for level, words in config.seniority_keywords.items():
         for_level = F.lit(False)
@@ -51,7 +56,7 @@ def seniority(roles: Column, years: Column, config: Config) -> Column:
         out = out.when(years >= bounds[level], level)
     out = out.when(years.isNotNull(), "Junior")
     for level, least in sorted(config.seniority_by_count.items(), key=lambda x: -x[1]):
-        out = out.when(F.size(roles) >= least, level)
+        out = out.when(x["n"] >= least, level)
     return out.otherwise("Junior")
 
 
@@ -61,12 +66,14 @@ def _holds(word: str):
 
 def country(location: Column, phone: Column, config: Config) -> Column:
     """By phone prefix, country alias, city, US state, each in the order of the settings."""
-    number = sub(some(phone), rf"[\-()]|{WS}")
-    place = F.lower(some(location))
+    words = F.split(F.replace(F.lower(some(location)), F.lit(","), F.lit(" ")), f"{WS}+")
+    return bind(F.struct(sub(some(phone), rf"[\-()]|{WS}").alias("number"), F.lower(some(location)).alias("place"), words.alias("words")), lambda x: _land(x, config))
+
+
+def _land(x: Column, config: Config) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for prefix, name in config.phone_prefixes.items():
-        out = out.when(number.startswith(prefix), name)
+        out = out.when(x["number"].startswith(prefix), name)
     for text, name in [*config.country_aliases.items(), *config.cities.items()]:
-        out = out.when(F.contains(place, F.lit(text)), name)
-    words = F.split(F.replace(place, F.lit(","), F.lit(" ")), f"{WS}+")
-    return out.when(F.exists(words, lambda w: in_list(F.upper(w), config.us_states)), "United States")
+        out = out.when(F.contains(x["place"], F.lit(text)), name)
+    return out.when(F.exists(x["words"], lambda w: in_list(F.upper(w), config.us_states)), "United States")

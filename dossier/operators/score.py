@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dossier.functions.arrays import bind
 from dossier.functions.jsre import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, some
 
 #: Nouns and verbs that tell of achievements; fixed values.
@@ -41,19 +42,27 @@ def _with(roles: Column, field: str) -> Column:
 
 
 def score(personal: Column, roles: Column, studies: Column, skills: Column, certificates: Column, years: Column, raw_text: Column) -> Column:
-    """struct<score, details, issues>."""
-    n, titles, companies, dates = F.size(roles), _with(roles, "title"), _with(roles, "company"), _with(roles, "start_date")
-    n_skills, has = F.size(skills), lambda f: some(personal[f]).isNotNull()
+    """struct<score, details, issues>. What categories and issues share is found once."""
     study = lambda f: F.exists(studies, lambda e: some(e[f]).isNotNull())
     months = F.size(F.filter(roles, lambda r: F.coalesce(r["start_date"].rlike("[a-zA-Z]"), F.lit(False))))
-    quantified, metrics = F.coalesce(raw_text.rlike(QUANTIFIED), F.lit(False)), F.coalesce(raw_text.rlike(METRICS), F.lit(False))
+    facts = {
+        "n": F.size(roles), "titles": _with(roles, "title"), "companies": _with(roles, "company"), "dates": _with(roles, "start_date"), "months": months, "n_skills": F.size(skills),
+        **{f"has_{f}": some(personal[f]).isNotNull() for f in ("name", "email", "phone", "location")}, "studies": F.size(studies), **{f: study(f) for f in ("degree", "institution", "field")},
+        "certificates": F.size(certificates), "years": years, "quantified": F.coalesce(raw_text.rlike(QUANTIFIED), F.lit(False)), "metrics": F.coalesce(raw_text.rlike(METRICS), F.lit(False)),
+    }
+    return bind(F.struct(*(v.alias(k) for k, v in facts.items())), _scored)
+
+
+def _scored(x: Column) -> Column:
+    n, titles, companies, dates, months, n_skills, years, quantified, metrics = (x[f] for f in ("n", "titles", "companies", "dates", "months", "n_skills", "years", "quantified", "metrics"))
+    has = lambda f: x[f"has_{f}"]
 
     contact = sum((_flag(has(f), 5) for f in ("name", "email", "phone", "location")), F.lit(0))
     experience = F.least(F.least(n * 4, F.lit(12)) + F.least(titles * 2, F.lit(4)) + F.least(companies * 2, F.lit(4)) + F.least(dates * 2, F.lit(5)), F.lit(25))
-    education = _flag(F.size(studies) > 0, 5) + _flag(study("degree"), 4) + _flag(study("institution"), 3) + _flag(study("field"), 3)
+    education = _flag(x["studies"] > 0, 5) + _flag(x["degree"], 4) + _flag(x["institution"], 3) + _flag(x["field"], 3)
     skill = sum((_flag(n_skills >= k, 4) for k in (1, 3, 5, 8, 12)), F.lit(0))
     formatting = (
-        _flag(n >= 2, 2) + _flag(n >= 3, 1) + _flag(years >= 2, 2) + _flag(F.size(certificates) > 0, 2) + _flag(months > 0, 2) + _flag((months == n) & (n > 0), 1)
+        _flag(n >= 2, 2) + _flag(n >= 3, 1) + _flag(years >= 2, 2) + _flag(x["certificates"] > 0, 2) + _flag(months > 0, 2) + _flag((months == n) & (n > 0), 1)
         + _flag((titles == n) & (n > 0), 2) + _flag((companies == n) & (n > 0), 2) + _flag(contact == 20, 2) + _flag(n_skills >= 8, 2))
     achievements = _flag(quantified, 3) + _flag(quantified & metrics, 2)
 
@@ -73,6 +82,6 @@ def score(personal: Column, roles: Column, studies: Column, skills: Column, cert
 
     issues = F.array_compact(F.array(
         *(issue(f, ~has(f)) for f in ("name", "email", "phone", "location")), issue("no_experience", n == 0), issue("no_dates", (n > 0) & (dates == 0)), issue("some_dates", (dates > 0) & (dates < n), n - dates),
-        issue("no_titles", (n > 0) & (titles == 0)), issue("no_companies", (n > 0) & (companies == 0)), issue("no_education", F.size(studies) == 0), issue("no_skills", n_skills == 0),
-        issue("few_skills", (n_skills > 0) & (n_skills < 5), n_skills), issue("no_certifications", F.size(certificates) == 0), issue("no_metrics", (n > 0) & ~quantified)))
+        issue("no_titles", (n > 0) & (titles == 0)), issue("no_companies", (n > 0) & (companies == 0)), issue("no_education", x["studies"] == 0), issue("no_skills", n_skills == 0),
+        issue("few_skills", (n_skills > 0) & (n_skills < 5), n_skills), issue("no_certifications", x["certificates"] == 0), issue("no_metrics", (n > 0) & ~quantified)))
     return F.struct(total.alias("score"), details.alias("details"), issues.alias("issues"))

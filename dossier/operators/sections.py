@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dossier.functions.arrays import bind
 from dossier.functions.jsre import ANY, END, WS, WS_IN, group, sub, trim
 from dossier.operators.spans import empty, span
 
@@ -23,31 +24,42 @@ BULLET = rf"\A[-●•▪■▸►‣⁃]{WS}*"
 SCORE = 0.8
 
 
+#: At most 30 ASCII letters; longer lines can't come down to a header, and most lines fail here after 31 letters.
+FEW_LETTERS = r"\A(?:[^A-Za-z]*+[A-Za-z]){0,30}+[^A-Za-z]*+\z"
+
+
 def header_of(line: Column) -> Column:
     """The section that a line opens, or null."""
     bare = trim(sub(F.lower(sub(trim(line), rf":{END}")), f"[^a-z{WS_IN}&]"))
-    out = F.lit(None).cast("string")
-    for name, headers in reversed(HEADERS.items()):
-        out = F.when(bare.isin(*headers), name).otherwise(out)
-    return out
+
+    def name(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for of, headers in reversed(HEADERS.items()):
+            out = F.when(x.isin(*headers), of).otherwise(out)
+        return out
+
+    return F.when(line.rlike(FEW_LETTERS), bind(bare, name))
 
 
 def detect_sections(text: Column) -> Column:
     """array<struct<name, start, end, text>>: from each header line to the next one or the end of the text."""
     kind = "array<struct<name:string,start:int>>"
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(header_of(x).alias("name"), (F.length(x) + 1).alias("size")))
 
     def step(state: Column, line: Column) -> Column:
-        name = header_of(line)
-        more = F.array_append(state["found"], F.struct(name.alias("name"), state["at"].alias("start")))
-        return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.when(name.isNotNull(), more).otherwise(state["found"]).alias("found"))
+        more = F.array_append(state["found"], F.struct(line["name"].alias("name"), state["at"].alias("start")))
+        return F.struct((state["at"] + line["size"]).alias("at"), F.when(line["name"].isNotNull(), more).otherwise(state["found"]).alias("found"))
 
-    heads = F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), empty(kind).alias("found")), step, lambda s: s["found"])
+    def cut(whole: Column) -> Column:
+        def section(h: Column, end: Column) -> Column:
+            return F.struct(h["name"].alias("name"), h["start"].alias("start"), end.alias("end"), F.substr(whole["text"], h["start"] + 1, end - h["start"]).alias("text"))
 
-    def section(h: Column, end: Column) -> Column:
-        return F.struct(h["name"].alias("name"), h["start"].alias("start"), end.alias("end"), F.substr(text, h["start"] + 1, end - h["start"]).alias("text"))
+        heads = whole["heads"]
+        ends = F.array_append(F.slice(F.transform(heads, lambda h: h["start"]), F.lit(2), F.greatest(F.size(heads), F.lit(1))), F.length(whole["text"]))
+        return F.zip_with(heads, F.slice(ends, F.lit(1), F.size(heads)), section)
 
-    ends = F.array_append(F.slice(F.transform(heads, lambda h: h["start"]), F.lit(2), F.greatest(F.size(heads), F.lit(1))), F.length(text))
-    return F.zip_with(heads, F.slice(ends, F.lit(1), F.size(heads)), section)
+    heads = F.aggregate(lines, F.struct(F.lit(0).alias("at"), empty(kind).alias("found")), step, lambda s: s["found"])
+    return F.when(text.isNotNull(), bind(F.struct(text.alias("text"), heads.alias("heads")), cut))
 
 
 def list_items(text: Column) -> Column:
@@ -66,31 +78,39 @@ def _header_words(line: Column, keep: str) -> Column:
 def missing_spans(text: Column, spans: Column) -> Column:
     """Spans of sections' items that overlap no span there is; each stands where its text first occurs in its section."""
 
-    def lines(section: Column) -> Column:
-        return F.transform(F.split(section["text"], "\n"), lambda x: sub(trim(x), BULLET))
+    def lines(body: Column) -> Column:
+        return F.transform(F.split(body, "\n"), lambda x: sub(trim(x), BULLET))
+
+    def certificates(body: Column) -> Column:
+        return F.filter(lines(body), lambda x: F.length(x).between(5, 100) & ~_header_words(x, "&").isin(*HEADERS["certifications"]))
+
+    def languages(body: Column) -> Column:
+        name = rf"\A([A-Z][a-z]+(?:{WS}[A-Z][a-z]+)?)"
+        spoken = F.filter(lines(body), lambda x: F.length(x).between(3, 60) & ~_header_words(x, "").isin(*HEADERS["languages"]) & x.rlike(name))
+        return F.transform(spoken, lambda x: group(x, name))
 
     def of(section: Column) -> Column:
         feed = F.instr(section["text"], "\n")
         body = F.when(feed > 0, F.substr(section["text"], feed + 1)).otherwise("")
-        skills = _place(section["start"] + feed, "SKILL", list_items(body), body)
-        certs = F.filter(lines(section), lambda x: F.length(x).between(5, 100) & ~_header_words(x, "&").isin(*HEADERS["certifications"]))
-        name = rf"\A([A-Z][a-z]+(?:{WS}[A-Z][a-z]+)?)"
-        spoken = F.filter(lines(section), lambda x: F.length(x).between(3, 60) & ~_header_words(x, "").isin(*HEADERS["languages"]) & x.rlike(name))
-        languages = F.transform(spoken, lambda x: group(x, name))
         return (
-            F.when(section["name"] == "skills", skills)
-            .when(section["name"] == "certifications", _place(section["start"], "CERT", certs, section["text"]))
+            F.when(section["name"] == "skills", _place(section["start"] + feed, "SKILL", list_items, body))
+            .when(section["name"] == "certifications", _place(section["start"], "CERT", certificates, section["text"]))
             .otherwise(_place(section["start"], "LANGUAGE", languages, section["text"]))
         )
 
     every = F.flatten(F.transform(detect_sections(text), of))
-    return F.filter(every, lambda a: ~F.exists(spans, lambda s: (s["start"] < a["end"]) & (s["end"] > a["start"])))
+    return bind(spans, lambda there: F.filter(every, lambda a: ~F.exists(there, lambda s: (s["start"] < a["end"]) & (s["end"] > a["start"]))))
+
+
+def _place(offset: Column, label: str, items, body: Column) -> Column:
+    """Spans of the items of a body at their first places in it; the body and each place are found once."""
 
+    def spans_in(body: Column) -> Column:
+        placed = F.transform(items(body), lambda x: F.struct(x.alias("text"), F.position(x, body).alias("at")))
+        start = lambda x: offset + x["at"] - 1
+        return F.transform(F.filter(placed, lambda x: x["at"] > 0), lambda x: span(F.lit(label), x["text"], start(x), start(x) + F.length(x["text"]), F.lit("B"), F.lit(SCORE)))
 
-def _place(offset: Column, label: str, items: Column, body: Column) -> Column:
-    at = lambda x: offset + F.position(x, body) - 1
-    found = F.filter(items, lambda x: F.position(x, body) > 0)
-    return F.transform(found, lambda x: span(F.lit(label), x, at(x), at(x) + F.length(x), F.lit("B"), F.lit(SCORE)))
+    return bind(body, spans_in)
 
 
 def by_start(spans: Column) -> Column:
@@ -100,4 +120,4 @@ def by_start(spans: Column) -> Column:
 
 
 def fill_missing(text: Column, spans: Column) -> Column:
-    return by_start(F.concat(spans, missing_spans(text, spans)))
+    return bind(spans, lambda there: by_start(F.concat(there, missing_spans(text, there))))

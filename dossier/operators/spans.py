@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.config import Config
+from dossier.functions.arrays import bind, split_at
 from dossier.functions.jsre import END, WS, WS_IN, in_list, quote, some, sub, trim
-from dossier.schema import SPAN, SPANS
+from dossier.schema import SPANS, TOKENS
 
 
 def span(label: Column, text: Column, start: Column, end: Column, bio: Column, score: Column) -> Column:
@@ -21,46 +22,50 @@ def empty(kind: str = SPANS) -> Column:
     return F.array().cast(kind)
 
 
-def nothing(kind: str = SPAN) -> Column:
-    return F.lit(None).cast(kind)
-
-
 def clean_entity(label: Column, raw: Column, config: Config) -> Column:
     """A cleaned entity text, null if it isn't one. A text of non-ASCII letters only is none either."""
     edge = rf"[,.;:|/\-{WS_IN}]+"
     text = sub(trim(sub(raw, f"{WS}+", " ")), rf"\A{edge}|{edge}{END}")
-    fit = (F.length(text) > 0) & text.rlike("[A-Za-z0-9]") & ((F.length(text) > 1) | text.rlike("[A-Za-z]"))
     of = config.rule
 
-    def email(t: Column) -> Column:
-        t = sub(t, f"{WS}+")
+    def email(text: Column) -> Column:
+        t = sub(text, f"{WS}+")
         t = reduce(lambda x, p: sub(x, rf"(?iu)\A{quote(p)}{WS}*"), of("EMAIL").strip_prefixes, t)
-        t = sub(t, r"\A[^a-zA-Z0-9]+")
-        tests = [F.contains(t, F.lit(of("EMAIL").require))] if of("EMAIL").require else []
-        tests += [~F.contains(F.lower(t), F.lit(p.lower())) for p in of("EMAIL").reject_patterns]
-        return F.when(reduce(and_, tests), t) if tests else t
-
-    company = trim(sub(text, rf",?{WS}+[A-Z]{{2}}{END}")) if of("COMPANY").strip_trailing_state_code else text
-    shaped = (
-        F.when(label == "EMAIL", email(text)).when(label == "SKILL", sub(text, rf"[,.;:]+{END}")).when(label == "COMPANY", company)
-        .when(label == "DATE", sub(text, rf"\A[| ]+|[| ]+{END}")).otherwise(text)
-    )
-    out = some(F.when(fit, shaped))
-    low = F.lower(out)
-
-    def judged(name: str) -> Column:
-        rule = of(name)
-        short = F.length(out) < rule.least
-        bypass = F.lit(False)
-        if rule.gazetteer_bypass:
-            bypass = bypass | in_list(low, config.companies)
-        if rule.uppercase_bypass:
-            bypass = bypass | (out == F.upper(out))
-        kept = in_list(low, tuple(x.lower() for x in rule.exceptions)) | ~short | bypass
-        return F.when(~in_list(low, tuple(x.lower() for x in rule.blocked_words)) & kept, out)
-
-    other = F.when(F.length(out) >= 2, out)
-    return reduce(lambda rest, name: F.when(label == name, judged(name)).otherwise(rest), config.rules, other)
+
+        def tested(t: Column) -> Column:
+            tests = [F.contains(t, F.lit(of("EMAIL").require))] if of("EMAIL").require else []
+            tests += [~F.contains(F.lower(t), F.lit(p.lower())) for p in of("EMAIL").reject_patterns]
+            return F.when(reduce(and_, tests), t) if tests else t
+
+        return bind(sub(t, r"\A[^a-zA-Z0-9]+"), tested)
+
+    def shaped(x: Column) -> Column:
+        label, text = x["label"], x["text"]
+        fit = (F.length(text) > 0) & text.rlike("[A-Za-z0-9]") & ((F.length(text) > 1) | text.rlike("[A-Za-z]"))
+        company = trim(sub(text, rf",?{WS}+[A-Z]{{2}}{END}")) if of("COMPANY").strip_trailing_state_code else text
+        out = (
+            F.when(label == "EMAIL", email(text)).when(label == "SKILL", sub(text, rf"[,.;:]+{END}")).when(label == "COMPANY", company)
+            .when(label == "DATE", sub(text, rf"\A[| ]+|[| ]+{END}")).otherwise(text)
+        )
+        return F.struct(label.alias("label"), some(F.when(fit, out)).alias("out"))
+
+    def judged(x: Column) -> Column:
+        out = x["out"]
+
+        def by(name: str) -> Column:
+            rule = of(name)
+            bypass = F.lit(False)
+            if rule.gazetteer_bypass:
+                bypass = bypass | in_list(F.lower(out), config.companies)
+            if rule.uppercase_bypass:
+                bypass = bypass | (out == F.upper(out))
+            kept = (F.length(out) >= rule.least) | in_list(F.lower(out), tuple(e.lower() for e in rule.exceptions)) | bypass
+            return F.when(~in_list(F.lower(out), tuple(w.lower() for w in rule.blocked_words)) & kept, out)
+
+        other = F.when(F.length(out) >= 2, out)
+        return reduce(lambda rest, name: F.when(x["label"] == name, by(name)).otherwise(rest), config.rules, other)
+
+    return bind(bind(F.struct(label.alias("label"), text.alias("text")), shaped), judged)
 
 
 def clean_spans(spans: Column, config: Config) -> Column:
@@ -72,45 +77,40 @@ def clean_spans(spans: Column, config: Config) -> Column:
 def merge_subwords(tokens: Column) -> Column:
     """Tokens to spans: `##` pieces are glued to the token before, whatever its label; then `I-` tokens join the last kept
     span of their label, also across tokens outside any entity."""
+    word_of = lambda t: F.coalesce(t["word"], F.lit(""))
+    plain = lambda t: F.when(word_of(t).startswith("##"), F.substr(word_of(t), F.lit(3))).otherwise(word_of(t))
 
-    def glue(state: Column, t: Column) -> Column:
+    def glued(run: Column) -> Column:
+        t = run[0]
         entity = F.coalesce(some(t["entity"]), F.lit("O"))
-        word = F.coalesce(t["word"], F.lit(""))
-        piece = word.startswith("##") & state["last"].isNotNull()
-        plain = F.when(word.startswith("##"), F.substr(word, F.lit(3))).otherwise(word)
         bio = F.when(entity.startswith("B-"), "B").when(entity.startswith("I-"), "I").otherwise("O")
-        last = state["last"]
-        longer = span(last["label"], F.concat(last["text"], plain), last["start"], F.when(F.coalesce(t["end"], F.lit(0)) != 0, t["end"]).otherwise(last["end"]), last["bio"], last["score"])
-        fresh = span(sub(entity, r"\A[BI]-"), plain, F.coalesce(t["start"], F.lit(0)), F.coalesce(t["end"], F.lit(0)), bio, F.coalesce(t["score"], F.lit(0.0)))
-        return F.struct(F.when(piece, state["out"]).otherwise(_push(state["out"], last)).alias("out"), F.when(piece, longer).otherwise(fresh).alias("last"))
+        ends = F.filter(F.transform(run, lambda x: F.coalesce(x["end"], F.lit(0))), lambda x: x != 0)
+        return span(sub(entity, r"\A[BI]-"), F.array_join(F.transform(run, plain), ""), F.coalesce(t["start"], F.lit(0)), F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)), bio, F.coalesce(t["score"], F.lit(0.0)))
 
-    words = F.aggregate(tokens, _held(), glue, lambda s: _push(s["out"], s["last"]))
-    return fold(F.filter(words, lambda s: s["label"] != "O"), lambda last, s: (last["label"] == s["label"]) & (s["bio"] == "I"), lambda last, s: span(last["label"], F.concat(last["text"], F.lit(" "), s["text"]), last["start"], s["end"], last["bio"], last["score"]))
+    words = F.transform(split_at(tokens, lambda ts, i: ~word_of(ts[i]).startswith("##"), TOKENS), glued)
+    inside = lambda ss, i: F.coalesce((ss[i - 1]["label"] == ss[i]["label"]) & (ss[i]["bio"] == "I"), F.lit(False))
+    return merge_runs(F.filter(words, lambda s: s["label"] != "O"), inside)
 
 
-def _held() -> Column:
-    return F.struct(empty().alias("out"), nothing().alias("last"))
+def merge_runs(spans: Column, joins, score=lambda run: run[0]["score"]) -> Column:
+    """Neighbours are made one wherever joins(spans, place of the later one) holds: texts with spaces between them, from the
+    first one's start to the last one's end. A merged span's end and label are those of its last part, so looking at
+    neighbours only is looking at what was merged so far."""
 
+    def merged(run: Column) -> Column:
+        return span(run[0]["label"], F.array_join(F.transform(run, lambda s: s["text"]), " "), run[0]["start"], F.element_at(run, -1)["end"], run[0]["bio"], score(run))
 
-def _push(out: Column, last: Column) -> Column:
-    return F.when(last.isNull(), out).otherwise(F.array_append(out, last))
-
-
-def fold(spans: Column, joins, joined) -> Column:
-    """Neighbours in list order that join(last, next) are made one by joined(last, next), in chains."""
-
-    def step(state: Column, s: Column) -> Column:
-        last = state["last"]
-        one = last.isNotNull() & F.coalesce(joins(last, s), F.lit(False))
-        return F.struct(F.when(one, state["out"]).otherwise(_push(state["out"], last)).alias("out"), F.when(one, joined(last, s)).otherwise(s.cast(SPAN)).alias("last"))
-
-    return F.aggregate(spans, _held(), step, lambda s: _push(s["out"], s["last"]))
+    return F.transform(split_at(spans, lambda ss, i: ~joins(ss, i), SPANS), merged)
 
 
 def merge_neighbours(spans: Column, config: Config) -> Column:
     """Spans of one of the merge labels join the span before if it has the label and ends at most a gap before."""
-    near = lambda last, s: in_list(s["label"], config.merge_labels) & (last["label"] == s["label"]) & (s["start"] - last["end"] <= config.merge_gap)
-    return fold(spans, near, lambda last, s: span(last["label"], F.concat(last["text"], F.lit(" "), s["text"]), last["start"], s["end"], last["bio"], F.greatest(last["score"], s["score"])))
+
+    def near(ss: Column, i: Column) -> Column:
+        last, s = ss[i - 1], ss[i]
+        return F.coalesce(in_list(s["label"], config.merge_labels) & (last["label"] == s["label"]) & (s["start"] - last["end"] <= config.merge_gap), F.lit(False))
+
+    return merge_runs(spans, near, lambda run: F.array_max(F.transform(run, lambda s: s["score"])))
 
 
 def relabel_companies(spans: Column, config: Config) -> Column:
@@ -143,24 +143,24 @@ def split_titles(spans: Column, config: Config) -> Column:
 
 
 def pair_skills(spans: Column, config: Config) -> Column:
-    """Two skills in a row whose joined text is a known skill become one; a joined pair takes no third."""
+    """Two skills in a row whose joined text is a known skill become one; a joined pair takes no third.
+
+    In a run of skills each of which would join the one before, the first joins the second, the third the fourth, and so on.
+    """
     if not config.multi_word_skills:
         return spans
-    done = F.lit("P")
-
-    def joins(last: Column, s: Column) -> Column:
-        both = sub(F.concat(last["text"], F.lit(" "), s["text"]), rf"[,.]{END}")
-        return (last["label"] == "SKILL") & (s["label"] == "SKILL") & (last["bio"] != done) & in_list(F.lower(both), config.multi_word_skills)
+    both = lambda a, b: sub(F.concat(a["text"], F.lit(" "), b["text"]), rf"[,.]{END}")
 
-    def joined(last: Column, s: Column) -> Column:
-        text = sub(F.concat(last["text"], F.lit(" "), s["text"]), rf"[,.]{END}")
-        return span(last["label"], text, last["start"], s["end"], F.concat(done, last["bio"]), last["score"])
+    def alone(ss: Column, i: Column) -> Column:
+        a, b = ss[i - 1], ss[i]
+        return ~F.coalesce((a["label"] == "SKILL") & (b["label"] == "SKILL") & in_list(F.lower(both(a, b)), config.multi_word_skills), F.lit(False))
 
-    def step_joins(last: Column, s: Column) -> Column:
-        return joins(last.withField("bio", F.substring(last["bio"], 1, 1)), s)
+    def paired(run: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(run), F.lit(2)), lambda i: F.slice(run, i, F.lit(2)))
+        joined = lambda p: span(p[0]["label"], both(p[0], p[1]), p[0]["start"], p[1]["end"], p[0]["bio"], p[0]["score"])
+        return F.transform(pairs, lambda p: F.when(F.size(p) == 2, joined(p)).otherwise(p[0]))
 
-    merged = fold(spans, step_joins, joined)
-    return F.transform(merged, lambda s: s.withField("bio", F.substring(s["bio"], -1, 1)))
+    return F.flatten(F.transform(split_at(spans, alone, SPANS), paired))
 
 
 def post_process(spans: Column, config: Config) -> Column:

@@ -3,10 +3,31 @@
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
+from collections.abc import Callable
 from typing import Any
 
 from dossier.config import Config
 
+#: Models that a worker keeps for its later tasks, by the key of the factory that made them.
+KEPT = 2
+_made: OrderedDict[bytes, Any] = OrderedDict()
+
+
+def once(key: bytes, factory: Callable[[], Any]) -> Any:
+    """What the factory makes, made once in a worker process."""
+    if key not in _made:
+        _made[key] = factory()
+        while len(_made) > KEPT:
+            _made.popitem(last=False)
+    _made.move_to_end(key)
+    return _made[key]
+
+
+def as_token(t: dict[str, Any], names: list[str]) -> dict[str, Any]:
+    """A tagger's token with the columns `names`; a grouped label counts before a plain one."""
+    return {n: t.get(n) for n in names} | {"entity": t.get("entity_group") or t.get("entity")}
+
 
 def rule_tagger(config: Config):
     """A deterministic tagger for tests and for texts of plain form: e-mails, phones, dates, companies, known skills."""
@@ -28,7 +49,7 @@ def rule_tagger(config: Config):
 
 
 def onnx_tagger(model_path: str, tokenizer_path: str, labels: list[str]):
-    """Token classification with an ONNX model. No model is at hand here, so this is untested."""
+    """Token classification with an ONNX model: the likeliest label of each token that isn't special, with its probability."""
 
     def factory():
         import numpy as np
@@ -50,3 +71,14 @@ def onnx_tagger(model_path: str, tokenizer_path: str, labels: list[str]):
         return run
 
     return factory
+
+
+def model_tagger(folder: str):
+    """The tagger of a model folder: its quantised ONNX graph, tokenizer and labels (`id2label` of config.json)."""
+    import json
+    import os
+
+    with open(os.path.join(folder, "config.json"), encoding="utf-8") as f:
+        named = json.load(f)["id2label"]
+    labels = [named[str(i)] for i in range(len(named))]
+    return onnx_tagger(os.path.join(folder, "onnx", "model_quantized.onnx"), os.path.join(folder, "tokenizer.json"), labels)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import text as texts
+from dossier.functions.arrays import settle
 from dossier.operators import assemble, chunk, infer, sections, spans
 from dossier.operators.score import score
 from dossier.plans import fixtures as fx
-from dossier.plans.pipeline import records
+from dossier.plans.pipeline import processed, records
 from dossier.schema import SPANS
 from dossier.sources import sinks
 
@@ -27,16 +28,16 @@ def _as_of() -> Column:
 
 
 def _rows(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """An array of spans as rows."""
-    return df.select("doc_id", *keys, F.posexplode(column).alias("pos", "s")).select("doc_id", *keys, "pos", "s.label", "s.text", F.col("s.start").alias("start_off"), F.col("s.end").alias("end_off"))
+    """An array of spans as rows. It is settled first: a filter on its size is made for the generator, and would evaluate it again."""
+    return settle(df.select("doc_id", *keys, column)).select("doc_id", *keys, F.posexplode(column).alias("pos", "s")).select("doc_id", *keys, "pos", "s.label", "s.text", F.col("s.start").alias("start_off"), F.col("s.end").alias("end_off"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = fx.settings()
-    df = fx.record_rows(spark, sf_dir).withColumn("experience_years", infer.experience_years(F.col("experience"), config, _as_of()))
+    df = settle(settle(fx.record_rows(spark, sf_dir)).withColumn("experience_years", infer.experience_years(F.col("experience"), config, _as_of())))
     df = df.withColumn("seniority", infer.seniority(F.col("experience"), F.col("experience_years"), config)).withColumn("country", infer.country(F.col("personal.location"), F.col("personal.phone"), config))
     parts = (F.col(c) for c in ("personal", "experience", "education", "skills", "certifications", "experience_years", "raw_text"))
-    return df.withColumn("ats", score(*parts))
+    return settle(settle(df).withColumn("ats", score(*parts)))
 
 
 CATEGORIES = ("contact", "experience", "education", "skills", "formatting", "achievements")
@@ -100,7 +101,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).select("doc_id", F.posexplode("spans").alias("pos", "s")).select("doc_id", "pos", "s.label", "s.text", F.col("s.start").alias("start_off"), F.col("s.end").alias("end_off"), "s.bio", "s.score")
+    return settle(_merged(spark, sf_dir)).select("doc_id", F.posexplode("spans").alias("pos", "s")).select("doc_id", "pos", "s.label", "s.text", F.col("s.start").alias("start_off"), F.col("s.end").alias("end_off"), "s.bio", "s.score")
 
 
 def _token_settings():
@@ -131,43 +132,59 @@ skill_pairs = _of_spans(spans.pair_skills)
 
 
 def detect_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _texts(spark, sf_dir).select("doc_id", F.posexplode(sections.detect_sections(F.col("raw_text"))).alias("pos", "s"))
+    found = settle(_texts(spark, sf_dir).select("doc_id", sections.detect_sections(F.col("raw_text")).alias("s"))).select("doc_id", F.posexplode("s").alias("pos", "s"))
     return found.select("doc_id", "pos", "s.name", F.col("s.start").alias("start_off"), F.col("s.end").alias("end_off"))
 
 
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast(SPANS)
-    return _rows(_texts(spark, sf_dir).withColumn("spans", sections.missing_spans(F.col("raw_text"), none)), "spans").drop("pos")
+    return _rows(_texts(spark, sf_dir).withColumn("spans", sections.missing_spans(F.col("raw_text"), none)), "spans")
 
 
-def overlap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with the spans of their tokens that are dates."""
     both = _texts(spark, sf_dir).join(_merged(spark, sf_dir), "doc_id")
-    return _rows(both.withColumn("found", sections.missing_spans(F.col("raw_text"), F.filter("spans", lambda s: s["label"] == "DATE"))), "found").drop("pos")
+    return settle(both.select("doc_id", "raw_text", F.filter("spans", lambda s: s["label"] == "DATE").alias("dates")))
+
+
+def overlap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(_dated(spark, sf_dir).withColumn("found", sections.missing_spans(F.col("raw_text"), F.col("dates"))), "found")
+
+
+def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is there and what was missing, by start; of equal starts what was there comes first."""
+    return _rows(_dated(spark, sf_dir).withColumn("found", sections.fill_missing(F.col("raw_text"), F.col("dates"))), "found")
 
 
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.span_arrays(spark, sf_dir).select("doc_id", assemble.personal(F.col("spans"), fx.settings()).alias("p")).select("doc_id", "p.*")
 
 
+def _items(spark: SparkSession, sf_dir: str, step) -> DataFrame:
+    """What a step makes of each document's spans, as rows."""
+    made = fx.span_arrays(spark, sf_dir).select("doc_id", step(F.col("spans"), fx.settings()).alias("x"))
+    return settle(made).select("doc_id", F.posexplode("x").alias("pos", "x"))
+
+
 def experience_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.span_arrays(spark, sf_dir).select("doc_id", F.posexplode(assemble.experience(F.col("spans"), fx.settings())).alias("pos", "r")).select("doc_id", "pos", "r.*")
+    return _items(spark, sf_dir, assemble.experience).select("doc_id", "pos", "x.*")
 
 
 def education_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.span_arrays(spark, sf_dir).select("doc_id", F.posexplode(assemble.education(F.col("spans"), fx.settings())).alias("pos", "e")).select("doc_id", "pos", "e.*")
+    return _items(spark, sf_dir, assemble.education).select("doc_id", "pos", "x.*")
 
 
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.span_arrays(spark, sf_dir).select("doc_id", F.posexplode(assemble.skills(F.col("spans"), fx.settings())).alias("pos", "skill"))
+    return _items(spark, sf_dir, assemble.skills).withColumnRenamed("x", "skill")
 
 
 def certifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.span_arrays(spark, sf_dir).select("doc_id", F.posexplode(assemble.certifications(F.col("spans"), fx.settings())).alias("pos", "certification"))
+    return _items(spark, sf_dir, assemble.certifications).withColumnRenamed("x", "certification")
 
 
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts_ = fx.frame(spark, sf_dir, fx.PARAGRAPHS_SQL)
-    found = texts_.select("doc_id", F.posexplode(chunk.chunks(F.col("text"), chunk.by_chars(4))).alias("pos", "c"))
+    found = settle(texts_.select("doc_id", chunk.chunks(F.col("text"), chunk.by_chars(4)).alias("c"))).select("doc_id", F.posexplode("c").alias("pos", "c"))
     return found.select("doc_id", "pos", F.col("c.offset").alias("start_off"), F.length("c.text").alias("n_chars"), F.md5("c.text").alias("digest"))
 
 
@@ -188,18 +205,30 @@ def stderr_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every deterministic stage on the token and text fixtures together."""
     config = _token_settings()
-    both = _texts(spark, sf_dir).join(_merged(spark, sf_dir), "doc_id").withColumn("text", texts.normalize(F.col("raw_text"), config))
-    out = records(both.withColumn("spans", spans.post_process(spans.clean_spans(F.col("spans"), config), config)), config, _as_of())
+    both = settle(_texts(spark, sf_dir).join(_merged(spark, sf_dir), "doc_id").withColumn("text", texts.normalize(F.col("raw_text"), config)))
+    out = records(processed(both, config), config, _as_of())
+    said = lambda fields: lambda x: F.concat_ws(" | ", *(F.coalesce(x[f], F.lit("-")) for f in fields))
     return out.select(
-        "doc_id", "personal.*", F.size("experience").alias("n_experience"), F.size("education").alias("n_education"), F.array_join("skills", "; ").alias("skills"),
-        F.array_join("certifications", "; ").alias("certifications"), "seniority", "country", "experience_years", F.col("ats.score").alias("score"), F.size("ats.issues").alias("n_issues"))
+        "doc_id", "personal.*", F.size("experience").alias("n_experience"), F.size("education").alias("n_education"), F.md5(F.array_join(F.transform("experience", said(sinks.ROLE)), "; ")).alias("experience_md5"),
+        F.md5(F.array_join(F.transform("education", said(sinks.STUDY)), "; ")).alias("education_md5"), F.size("skills").alias("n_skills"), F.md5(F.array_join("skills", "; ")).alias("skills_md5"),
+        F.array_join("certifications", "; ").alias("certifications"), "seniority", "country", "experience_years", *(F.col(f"ats.details.{c}.score").alias(c + "_score") for c in CATEGORIES), F.col("ats.score").alias("score"),
+        F.size("ats.issues").alias("n_issues"))
+
+
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by a count that only a function can make (here of words), as a tokenizer's would be."""
+    import re
+
+    counter = chunk.Counter(lambda: lambda text: len(re.findall(r"\S+", text, re.ASCII)))
+    found = settle(fx.frame(spark, sf_dir, fx.PARAGRAPHS_SQL).select("doc_id", chunk.chunk_texts(F.col("text"), counter, 100).alias("c"))).select("doc_id", F.posexplode("c").alias("pos", "c"))
+    return found.select("doc_id", "pos", F.col("c.offset").alias("start_off"), F.length("c.text").alias("n_chars"), F.md5("c.text").alias("digest"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         ats_score, ats_issues, ats_category_summary, parse_date, experience_years, seniority, country, clean_phone, clean_spaces, normalize_text, expand_tables, merge_subwords,
-        clean_entity, merge_neighbors, detect_sections, gap_fill, overlap_anti, personal, experience_fold, education_fold, skills, certifications, chunk_pack, csv_wide, batch_summary,
-        stderr_filter, parse_full,
+        clean_entity, merge_neighbors, detect_sections, gap_fill, overlap_anti, fill_missing, personal, experience_fold, education_fold, skills, certifications, chunk_pack, csv_wide, batch_summary,
+        stderr_filter, parse_full, chunk_tokens,
     )
 } | {"gazetteer_relabel": gazetteer_relabel, "title_split": title_split, "skill_pairs": skill_pairs}
