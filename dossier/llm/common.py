@@ -81,14 +81,71 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends here, and a lost executor costs only the reread.
 
-    The table goes when the application ends; results are lazy, so it can't go earlier.
+    The table goes when the application ends, or by `discard` where no lazy result needs it any more. In a folder of file://
+    Hadoop starts several processes (chmod) for each file and its checksum file; these tables do without the latter.
     """
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    sc = df.sparkSession.sparkContext
+    plain = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+    df.write.options(**plain).parquet(at)
+    fs, path = _place(df.sparkSession, at)
+    fs.deleteOnExit(path)
+    _written(df.sparkSession).append(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._dossier_at = at
+    return out
+
+
+def _written(spark: SparkSession) -> list[str]:
+    """Places of the tables that `cut` has written in this application and nobody has deleted."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_dossier_written"):
+        sc._dossier_written = []
+    return sc._dossier_written
+
+
+def _place(spark: SparkSession, at: str):
+    sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
+def discard(*tables: DataFrame, release: bool = False) -> None:
+    """Delete tables that `cut` has returned, once what was made of them is written. With `release` the driver also lets go of
+    what ended jobs have left: their shuffle files go when the objects that stand for them are collected."""
+    places = [t._dossier_at for t in tables if hasattr(t, "_dossier_at")]
+    if tables:
+        _delete(tables[0].sparkSession, places)
+    if release:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, places: list[str]) -> None:
+    written = _written(spark)
+    for at in places:
+        if at in written:
+            fs, path = _place(spark, at)
+            fs.delete(path, True)
+            written.remove(at)
+
+
+def in_turn(stage: Callable) -> Callable:
+    """A stage (spark, docs, sf_dir) of a pipeline whose results are written before the next stage is called: each call deletes
+    the tables that the call before it has left behind for its lazy result."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sc = spark.sparkContext
+        read = docs.inputFiles() if getattr(sc, "_dossier_left", None) else []
+        _delete(spark, [at for at in getattr(sc, "_dossier_left", []) if not any(x.startswith(at) or x.startswith(at.replace("file://", "file:", 1)) for x in read)])
+        gc.collect()
+        sc._jvm.System.gc()
+        before = set(_written(spark))
+        out = stage(spark, docs, sf_dir)
+        sc._dossier_left = [at for at in _written(spark) if at not in before]
+        return out
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
 
 
 def n_words(text: Column) -> Column:
@@ -100,6 +157,25 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def hot_keys(rows: DataFrame, key: str, least: int = 500) -> DataFrame | None:
+    """(key, __hot) of the keys with more than one in HOT of all rows, and more than `least`; None if there are none."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = counts.filter((F.col("__n") * HOT > total) & (F.col("__n") > least)).select(key, F.lit(True).alias("__hot"))
+    return hot if hot.limit(1).count() else None
+
+
+def join_salted(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None, parts: int = 64) -> DataFrame:
+    """Inner join with one row of `side` for each key; rows of hot keys are dealt to `parts` tasks, to which side's rows are copied."""
+    if hot is None:
+        return rows.join(side, key)
+    hot = F.broadcast(hot)  # bounded: HOT keys
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(parts)).cast("int")).otherwise(0)
+    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    dealt = rows.join(hot, key, "left").withColumn("__part", part).drop("__hot")
+    return dealt.join(side.join(hot, key, "left").withColumn("__part", copies).drop("__hot"), [key, "__part"]).drop("__part")
+
+
 def join_by_key(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
     """`rows` left-joined with `side` (one row for each key, with the number `weight` of rows of that key).
 

@@ -16,7 +16,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at a time; a longer text is walked in blocks that end at white space.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

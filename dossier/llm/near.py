@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dossier.llm import kernel as K
-from dossier.llm.common import cut, join_by_key, lean, ship, table
+from dossier.llm.common import cut, discard, hot_keys, join_by_key, join_salted, lean, ship, table
 
 WORDS, NUM = 5, 80
 #: Least size of a set in each tier; a set is in every tier from its least size up to OVERLAP times the next tier's, so that
@@ -60,6 +60,8 @@ BITS, SKETCH, LEADERS = 512, 128, 8
 SAMPLE, MARGIN, SPARE = 110, 8.0, 12.0
 #: Members of a list that meet all its other members in one task.
 SALT = 4096
+#: Links in a file.
+FILE = 500_000
 #: Seeds of the hashes that make orders 2 and 3.
 SEEDS = (0x5DEECE66D, 0x2545F4914F6CDD1D)
 FACTS = [*(f"w{i}" for i in range(BITS // 64)), *(f"o{k}{i}" for k in (2, 3) for i in range(SKETCH // 64))]
@@ -334,9 +336,10 @@ def verified(pairs: DataFrame, kept: DataFrame, num: int) -> DataFrame:
     """The pairs (a, b) that link: first the whole prefixes under orders 2 and 3 are intersected, then the sets."""
     light = lambda x: kept.select(F.col("k").alias(x), F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}"))
     heavy = lambda x: kept.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"set_{x}"))
-    left = pairs.join(light("b"), "b").join(light("a"), "a").filter(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b").distinct()
+    hot = hot_keys(pairs, "a")  # the leader of a large group of near copies
+    left = join_salted(pairs.join(light("b"), "b"), light("a"), "a", hot).filter(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b").distinct()
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return left.join(heavy("b"), "b").join(heavy("a"), "a").filter(100 * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    return join_salted(left.join(heavy("b"), "b"), heavy("a"), "a", hot).filter(100 * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -346,24 +349,28 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
-            return edges.select(F.col("u").alias("k"), F.col("v").alias("root"))
-        state = now
+            return edges.withColumnsRenamed({"u": "k", "v": "root"})
+        state, before = now, edges
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        hubs = hot_keys(edges.select(F.col("v").alias("u")), "u")
+        large = join_salted(both, least, "u", hubs).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = cut(small, "edges")
+        edges = cut(small.coalesce(1 + now[0] // FILE), "edges")  # few files; a step makes no more edges than there were
+        discard(before)
 
 
-def _links(rows: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(documents: d, t, n, digest, k; (digest, root, copies) of each set that is in a link or has copies; whether an id has several sets)."""
+def _links(rows: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, bool, bool]:
+    """(documents: d, t, n, digest, k; (digest, root, copies) of each set; whether an id has several sets;
+    whether an id and set occur in several rows)."""
     profile = cut(profiles(rows, k, num), "near-profiles")
     documents = profile.filter("kind = 0").select("d", "t", "n", "digest", "h")
     sets_of = documents.filter("d IS NOT NULL").groupBy("d").agg(F.min("digest").alias("x"), F.max("digest").alias("y"))
-    several = cut(sets_of.filter("x <> y").select(_bit("d").alias("b")).distinct(), "near-several")
+    several = sets_of.filter("x <> y").select(_bit("d").alias("b")).distinct()
     any_several = several.limit(1).count() > 0
+    several = cut(several, "near-several") if any_several else several
     bits = _bitmap(several) if any_several else np.zeros(0, np.uint64)
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -399,32 +406,32 @@ def _links(rows: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, boo
     x, y = lists.alias("x"), leads.alias("y")
     near_lead = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.k") != F.col("y.k")) & close("x", "y", num))
     star = cut(near_lead.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct(), "near-star")
-    links = cut(verified(star, kept, num), "near-links")
-    first = components(links)
+    first = components(verified(star, kept, num))
 
     labelled = cut(lists.join(first, "k", "left").withColumn("c", F.coalesce("root", "k")).select("h", "k", "c", *facts), "near-labelled")
     groups = labelled.groupBy("h", "c").agg(F.count("*").alias("size"))
     # of each list that several components meet in, its largest component: pairs are sought for the other members only
     mixed = groups.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.min("c").alias("p"), F.max("c").alias("q"), F.sum("size").alias("size")).filter("p <> q")
     parts = 1 + F.floor(F.col("size") / SALT).cast("int")
-    mixed = cut(mixed.select("h", F.col("top.c").alias("top"), parts.alias("parts")), "near-mixed")
-    open_lists = labelled.join(mixed, "h")
+    open_lists = labelled.join(mixed.select("h", F.col("top.c").alias("top"), parts.alias("parts")), "h")
     x = open_lists.filter("c <> top").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).alias("x")
     y = open_lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     one_way = (F.col("y.c") == F.col("x.top")) | (F.col("x.k") < F.col("y.k"))
     pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & one_way & close("x", "y", num))
-    pairs = pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
-    late = cut(verified(pairs.join(star, ["a", "b"], "left_anti"), kept, num), "near-late")
-    last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(late)) if late.limit(1).count() else first
-    roots = firsts.join(last, "k", "left").select("digest", "d", F.coalesce("root", "k").alias("root"), "copies")
-    return documents, roots, any_several
+    pairs = cut(pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "near-pairs")
+    last = first
+    if pairs.limit(1).count():
+        last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(verified(pairs, kept, num)))
+    roots = cut(firsts.join(last, "k", "left").select("digest", "d", F.coalesce("root", "k").alias("root"), "copies"), "near-roots")
+    discard(firsts, posted, lists, kept, star, labelled, pairs, release=True)
+    return documents, roots, any_several, repeated
 
 
 def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id long, text)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("__d"), F.col("text").alias("__text"), F.lit(0).cast("long").alias("__t"))
-    documents, roots, several = _links(rows, k, num)
+    documents, roots, several, _ = _links(rows, k, num)
     if several:  # the ids of one document pool their links; then a component's root need not be an id
         linked = documents.filter("d IS NOT NULL AND n > 0").select("d", "digest").distinct().join(roots.select("digest", "root"), "digest").select("d", "root").distinct()
         pooled = linked.join(linked.groupBy("d").agg(F.min("root").alias("least")), "d").filter("root <> least").select(F.col("least").alias("a"), F.col("root").alias("b"))
@@ -434,7 +441,7 @@ def near_components(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFram
         roots = roots.join(roots.groupBy("root").agg(F.min("d").alias("component")), "root")
     else:
         roots = roots.withColumn("component", F.col("root"))
-    found = join_by_key(documents.drop("t", "k"), cut(roots.select("digest", "component", "copies"), "near-roots"), "digest", "copies")
+    found = join_by_key(documents.drop("t", "k"), cut(roots.select("digest", "component", "copies"), "near-components"), "digest", "copies")
     component = F.when(F.col("n") > 0, F.col("component"))
     if several:  # texts without words, too, have their id's component
         own = found.filter("d IS NOT NULL").groupBy("d").agg(F.min("component").alias("own"))
@@ -447,16 +454,16 @@ def drop_near_copies(docs: DataFrame, k: int = WORDS, num: int = NUM) -> DataFra
     """One row of each component, with all columns; see above for which, and for rows of null ids."""
     ship(docs.sparkSession)
     keys = [F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__t")]
-    documents, roots, _ = _links(docs.select(keys[0], F.col("text").alias("__text"), keys[1]), k, num)
-    with_roots = join_by_key(documents.filter("d IS NOT NULL").drop("k"), cut(roots.select("digest", "root", "copies"), "near-roots"), "digest", "copies")
+    documents, roots, _, repeated = _links(docs.select(keys[0], F.col("text").alias("__text"), keys[1]), k, num)
+    with_roots = join_by_key(documents.filter("d IS NOT NULL").drop("k"), roots.select("digest", "root", "copies"), "digest", "copies")
     rooted = cut(with_roots.select("d", "t", F.when(F.col("n") > 0, F.col("root")).alias("root")), "near-rooted")
     stays = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("d", "t")).alias("s")).select("s.*")
     linked = rooted.filter("root IS NOT NULL").select("d", "t").distinct()
     gone = linked.join(stays, ["d", "t"], "left_anti").select(F.col("d").alias("__gone"), F.col("t").alias("__of"))
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *keys).join(gone, (F.col("__d") == F.col("__gone")) & (F.col("__t") == F.col("__of")), "left_anti")
-    twice = cut(rooted.groupBy("d", "t").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias("__twice"), F.col("t").alias("__of")), "near-twice")
-    if twice.limit(1).count() == 0:
+    if not repeated:
         return kept.select("__row.*")
+    twice = rooted.groupBy("d", "t").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias("__twice"), F.col("t").alias("__of"))
     same = (F.col("__d") == F.col("__twice")) & (F.col("__t") == F.col("__of"))
     first = F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.xxhash64("__row")))
     once = kept.join(twice, same, "left_semi").withColumn("__nth", first).filter("__nth = 1").select("__row.*")

@@ -24,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kernel as K
-from dossier.llm.common import cut, lean, ship
+from dossier.llm.common import cut, discard, lean, ship
 
 ORDER, POINT = 5, 21
 #: Fixed-point logarithms: this many to a bit. Costs end at -log2 LEAST, below 2**16 of them.
 SCALE, LEAST = 1024, 1e-12
 #: Distinct grams that a counting task holds before it sends them on, and keys of a range of the table of costs.
-RUN, SLICE = 1 << 19, 1 << 21
+RUN, SLICE = 3 << 17, 1 << 21
+#: Runs of leading bits whose places are looked up at a time.
+STEP = 1 << 16
 #: Bytes of text and distinct grams that a task holds for one reading of all ranges, and bytes of a long text at a time.
-HOLD, HELD, WINDOW = 1 << 25, 1 << 21, 1 << 19
+HOLD, HELD, WINDOW = 1 << 25, 1 << 21, 1 << 18
 FOLD = np.arange(256, dtype=np.int64)
 FOLD[65:91] += 32
 FOLD[K.SPACE] = 32
@@ -134,8 +136,9 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return part.groupBy("key", "lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def probabilities(counted: DataFrame) -> DataFrame:
-    """(key, lang, a, b, p): the interpolated modified Kneser-Ney probability of each counted gram's last symbol."""
+def probabilities(counted: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """(key, lang, a, b, p): the interpolated modified Kneser-Ney probability of each counted gram's last symbol. The tables
+    that it reads are added to `made`."""
     mask = lambda k: F.lit((1 << POINT * k) - 1)
     a, b, none = F.col("a"), F.col("b"), F.lit(0).cast("long")
     #: the same gram without its first symbol, by order
@@ -144,6 +147,8 @@ def probabilities(counted: DataFrame) -> DataFrame:
     for k in range(ORDER, 1, -1):
         x, y = shorter[k]
         levels[k - 1] = cut(levels[k].groupBy("lang", x.alias("a"), y.alias("b")).agg(F.count("*").alias("n")), f"quality-grams-{k - 1}")
+        if made is not None:
+            made.append(levels[k - 1])
     is_n = lambda k: F.count_if(F.col("n") == k).cast("double")
     p = None
     for k in range(1, ORDER + 1):
@@ -182,6 +187,7 @@ class Model:
             key, cost = ordered(got["key"].to_numpy()), got["cost"].to_numpy().astype(np.uint16)
             order = np.argsort(key)
             self.ranges.append(spark.sparkContext.broadcast((key[order], cost[order])))
+        discard(costs)
 
     def close(self) -> None:
         """Takes the ranges from all nodes; only after what was scored with them has been written."""
@@ -203,8 +209,11 @@ class Finder:
             return
         self.low, span = key[0], int(key[-1] - key[0])
         self.shift = np.uint64(max(0, span.bit_length() - len(key).bit_length()))
-        bucket = (key - self.low) >> self.shift
-        self.start = np.searchsorted(bucket, np.arange(int(bucket[-1]) + 2, dtype=np.uint64)).astype(np.int32)
+        last = int((key[-1] - self.low) >> self.shift)
+        self.start = np.zeros(last + 1, np.int32)
+        for at in range(0, last + 1, STEP):
+            begins = (np.arange(at, min(at + STEP, last + 1), dtype=np.uint64) << self.shift) + self.low
+            self.start[at : at + STEP] = np.searchsorted(key, begins)
 
     def add(self, x: np.ndarray, out: np.ndarray) -> None:
         """Adds to `out` the cost of each key that is here."""
@@ -227,7 +236,10 @@ class Finder:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    return Model(probabilities(cut(counts(docs, text, lang), "quality-grams")))
+    made = [cut(counts(docs, text, lang), "quality-grams")]
+    model = Model(probabilities(made[0], made))
+    discard(*made, release=True)
+    return model
 
 
 Part = tuple[pa.RecordBatch, np.ndarray, np.ndarray]
