@@ -79,30 +79,38 @@ def pdf_text(content: bytes, options: dict | None = None) -> str:
 
 
 def read_documents(spark: SparkSession, paths: list[str] | str, pdf: Extractor = pdf_text, docx: Extractor = docx_text, options: dict | None = None, recursive: bool = True) -> DataFrame:
-    """input, format, raw_text, error of each file; extraction runs on the executors, one file's bytes at a time."""
+    """input, format, raw_text, error of each file; extraction runs on the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
     return extract(files.select(F.col("path").alias("input"), "content"), pdf, docx, options)
 
 
 def extract(files: DataFrame, pdf: Extractor = pdf_text, docx: Extractor = docx_text, options: dict | None = None) -> DataFrame:
-    """As `read_documents`, for (input, content) rows, streaming ones too."""
+    """As `read_documents`, for (input, content) rows, streaming ones too.
+
+    Every file is read once: text is decoded in the JVM, and only the bytes of PDF and DOCX files cross to Python. A task's
+    files are one input split (`spark.sql.files.maxPartitionBytes`, or a single larger file), which bounds what is held.
+    """
     given = options or {}
 
     @F.pandas_udf("struct<raw_text:string,error:string>")
-    def run(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, k in zip(content, kind, strict=True):
-            try:
-                text = {"pdf": pdf, "docx": docx}[k](bytes(data), given)
-                rows.append((text, None) if text.strip() else (None, EMPTY[k]))
-            except Exception as e:  # one bad file must not end the batch; its message is the result
-                rows.append((None, str(e) or type(e).__name__))
-        return pd.DataFrame(rows, columns=["raw_text", "error"])
-
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for content, kind in batches:
+            rows = []
+            for data, k in zip(content, kind, strict=True):
+                if data is None:
+                    rows.append((None, None))
+                    continue
+                try:
+                    text = {"pdf": pdf, "docx": docx}[k](bytes(data), given)
+                    rows.append((text, None) if text.strip() else (None, EMPTY[k]))
+                except Exception as e:  # one bad file must not end the batch; its message is the result
+                    rows.append((None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["raw_text", "error"])
+
+    plain = F.col("format") == "text"
     kinds = files.withColumn("format", file_format(F.col("input")))
-    plain = kinds.filter("format = 'text'").select("input", "format", F.decode("content", "UTF-8").alias("raw_text"), F.lit(None).cast("string").alias("error"))
-    rich = kinds.filter("format <> 'text'").select("input", "format", run("content", "format").alias("x"))
-    return plain.unionByName(rich.select("input", "format", "x.raw_text", "x.error"))
+    read = kinds.select("input", "format", F.when(plain, F.decode("content", "UTF-8")).alias("plain"), run(F.when(~plain, F.col("content")), F.col("format")).alias("x"))
+    return read.select("input", "format", F.when(plain, F.col("plain")).otherwise(F.col("x.raw_text")).alias("raw_text"), F.col("x.error").alias("error"))
 
 
 def inline(spark: SparkSession, text: str, name: str = "<text>") -> DataFrame:

@@ -53,13 +53,40 @@ def csv_lines(wide: DataFrame) -> DataFrame:
     return wide.select(F.concat_ws(",", *(_cell(F.col(c)) for c in wide.columns)).alias("line"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    wide = csv_columns(df)
-    wide.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+def write_csv(df: DataFrame, path: str, roles: int | None = None, studies: int | None = None) -> None:
+    """Part files of lines quoted by `_cell`; the first one holds the header alone, so their concatenation is the file."""
+    wide = csv_columns(df, roles, studies)
+    header = df.sparkSession.createDataFrame([(",".join(wide.columns),)], "line string").coalesce(1)
+    header.unionAll(csv_lines(wide)).write.mode("overwrite").text(path)
+
+
+def _json(value: Column, keep_nulls: bool = False) -> Column:
+    """A value as JSON text; `null` where it is null."""
+    said = F.to_json(F.array(value), {"ignoreNullFields": str(not keep_nulls).lower()})
+    return F.substring(said, F.lit(2), F.length(said) - 2)
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """One `line` for each row: the JSON object of a batch item, as `as_item` makes it, without leaving the JVM."""
+    has = lambda name: name in df.columns
+    parts = [
+        ("personal", _json(F.col("personal"), True)), ("experience", _json(F.col("experience"))), ("education", _json(F.col("education"))), ("skills", _json(F.col("skills"))),
+        ("certifications", _json(F.col("certifications"))), ("seniority", _json(F.col("seniority"))), ("country", _json(F.col("country"))),
+        ("experience_years", _json(F.col("experience_years"))), ("_rawText", _json(F.col("raw_text"))),
+    ]
+    body = F.concat(*(x for i, (name, value) in enumerate(parts) for x in (F.lit(f'{"," if i else "{"}"{name}":'), value)), F.lit("}"))
+    named = F.when(F.col("input").isNotNull(), F.concat(F.lit('"input":'), _json(F.col("input")), F.lit(","))).otherwise("") if has("input") else F.lit("")
+    scored = F.when(F.col("ats").isNotNull(), F.concat(F.lit(',"ats":'), _json(F.col("ats"), True))).otherwise("") if has("ats") else F.lit("")
+    item = F.concat(F.lit("{"), named, F.lit('"parsed":'), body, scored, F.lit("}"))
+    if has("error"):
+        failed = some(F.col("error")).isNotNull()
+        item = F.when(failed, F.concat(F.lit('{"input":'), _json(F.col("input")), F.lit(',"error":'), _json(F.col("error")), F.lit("}"))).otherwise(item)
+    return df.select(item.alias("line"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """Part files of JSON lines."""
+    json_lines(df).write.mode("overwrite").text(path)
 
 
 def as_item(row: Row, optional: tuple[str, ...] = ("input", "ats", "error")) -> dict[str, Any]:

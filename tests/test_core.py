@@ -12,7 +12,7 @@ from dossier import cli
 from dossier import config as settings
 from dossier.functions import text as texts
 from dossier.functions.arrays import settle
-from dossier.operators import assemble, chunk, infer, sections, spans
+from dossier.operators import assemble, chunk, infer, sections, spans, tagging
 from dossier.operators.score import score
 from dossier.operators.tagging import rule_tagger
 from dossier.plans import fixtures as fx
@@ -383,13 +383,99 @@ def test_csv_quotes_only_where_needed(spark):
     assert sinks.csv_lines(wide).first()["line"] == '"a,b","x""y",plain,'
 
 
-def test_cli(spark, folder, model, capsys, tmp_path):
+def test_cli(spark, folder, model, capsys, tmp_path, monkeypatch):
     assert cli.main(["extract", str(folder / "one.txt"), "--model-path", model, "--view", "json", "--compact"]) == 0
     assert json.loads(capsys.readouterr().out)["parsed"]["personal"]["email"] == "jane@x.org"
+    # no command means extract
+    assert cli.main([str(folder / "one.txt"), "--model-path", model, "--view", "json", "--compact", "--no-ats"]) == 0
+    assert "ats" not in json.loads(capsys.readouterr().out)
     out = str(tmp_path / "o.csv")
     assert cli.main(["batch", str(folder), "--model-path", model, "--output-format", "csv", "--output", out]) == 0
-    assert open(out).read().splitlines()[0].startswith("input,status,name,email")
-    assert cli.main(["doctor", "--model-path", model]) == 0 and json.loads(capsys.readouterr().out)["ready"]
+    lines = open(out).read().splitlines()
+    assert lines[0].startswith("input,status,name,email")
+    assert cli.main(["batch", str(folder), "--model-path", model, "--output-format", "csv", "--output-dir", str(tmp_path / "csv")]) == 0
+    parts = sorted((tmp_path / "csv").glob("part-*"))
+    assert sorted("".join(p.read_text() for p in parts).splitlines()) == sorted(lines) and parts[0].read_text() == lines[0] + "\n"
+    for command in ("setup-model", "update-model"):
+        with pytest.raises(SystemExit, match="aren't downloaded.*model_quantized"):
+            cli.main([command, "--model-path", model])
+    with pytest.raises(SystemExit, match="model's files"):
+        cli.main([str(folder / "one.txt"), "--model-path", model, "--tagger", "model"])
+    monkeypatch.setenv("XDG_CACHE_HOME", "/c")
+    assert cli.default_model_path() == "/c/dossier/model"
+
+
+def test_doctor_looks_at_all_files(model, capsys):
+    import os
+
+    assert cli.main(["doctor", "--model-path", model, "--json"]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert not report["ready"] and len(report["missing"]) == 13
+    os.makedirs(f"{model}/onnx")
+    for name in report["missing"]:
+        open(f"{model}/{name}", "w").write("" if name == "vocab.txt" else "{" if name == "onnx/config.json" else "{}")
+    assert cli.main(["doctor", "--model-path", model]) == 0
+    said = capsys.readouterr().out
+    assert "ready: yes" in said and "empty: vocab.txt" in said and "invalid: onnx/config.json" in said and "missing: none" in said
+
+
+def onnx_lookup(table):
+    """A model by hand: logits of each input id are a row of the table (one Gather node)."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    put = lambda field, value: number(field << 3) + number(value) if isinstance(value, int) else number(field << 3 | 2) + number(len(value)) + value
+    raw = b"".join(struct.pack("<f", x) for row in table for x in row)
+    tensor = put(1, len(table)) + put(1, len(table[0])) + put(2, 1) + put(8, b"table") + put(9, raw)
+    node = put(1, b"table") + put(1, b"input_ids") + put(2, b"logits") + put(4, b"Gather")
+    value = lambda name, kind, dims: put(1, name) + put(2, put(1, put(1, kind) + put(2, b"".join(put(1, put(2, d)) for d in dims))))
+    graph = put(1, node) + put(2, b"g") + put(5, tensor) + put(11, value(b"input_ids", 7, [b"b", b"n"])) + put(12, value(b"logits", 1, [b"b", b"n", b"l"]))
+    return put(1, 8) + put(7, graph) + put(8, put(1, b"") + put(2, 13))
+
+
+def test_model_tagger_runs_from_the_command_line(spark, folder, model, capsys):
+    """An ONNX graph, a tokenizer and labels made by hand: words are looked up, so the result is known."""
+    pytest.importorskip("onnxruntime")
+    import os
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    labels = ["O", "B-NAME", "B-COMPANY", "B-TITLE"]
+    words = {"[UNK]": 0, "Jane": 1, "Borealis": 2, "Engineer": 3}
+    made = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(f"{model}/tokenizer.json")
+    os.makedirs(f"{model}/onnx")
+    open(f"{model}/onnx/model_quantized.onnx", "wb").write(onnx_lookup([[9.0 if i == j else 0.0 for j in range(4)] for i in range(4)]))
+    json.dump({"id2label": {str(i): x for i, x in enumerate(labels)}}, open(f"{model}/config.json", "w"))
+    assert cli.main(["--text", "Jane is Engineer with Borealis", "--model-path", model, "--view", "json"]) == 0
+    got = json.loads(capsys.readouterr().out)["parsed"]
+    assert got["personal"]["name"] == "Jane" and got["experience"] == [{"title": "Engineer", "company": "Borealis"}]
+
+
+def test_a_worker_makes_a_tagger_once(monkeypatch):
+    monkeypatch.setattr(tagging, "_made", type(tagging._made)())
+    made = []
+    for key in (b"a", b"a", b"b", b"a", b"c", b"a", b"b"):
+        tagging.once(key, lambda k=key: made.append(k) or k)
+    assert made == [b"a", b"b", b"c", b"b"]
+    assert tagging.as_token({"entity_group": "SKILL", "entity": "O", "word": "x"}, ["entity", "word", "end"]) == {"entity": "SKILL", "word": "x", "end": None}
+
+
+def test_json_lines_equal_items(spark, folder, tmp_path):
+    docs = documents.read_documents(spark, documents.discover([str(folder)]), pdf=lambda data, options: 1 / 0)
+    quoted = docs.withColumn("raw_text", F.concat(F.coalesce("raw_text", F.lit("")), F.lit('\n"é\\ \t')))
+    rows = parse(quoted, CONFIG, rule_tagger(CONFIG), chunk.by_chars(4), F.lit("2023-01-01").cast("date"))
+    want = {r["input"]: sinks.as_item(r) for r in rows.collect()}
+    sinks.write_jsonl(rows, str(tmp_path / "out"))
+    got = [json.loads(x["value"]) for x in spark.read.text(str(tmp_path / "out")).collect()]
+    assert {x["input"]: x for x in got} == want and len(got) == len(want) == 3
+    assert sum("error" in x for x in got) == 1 and [list(x) for x in got if "parsed" in x][0] == ["input", "parsed", "ats"]
 
 
 def test_stream_equals_batch(spark, folder, tmp_path):
