@@ -6,7 +6,8 @@ together, one symbol at a time, so numpy works on thousands of lanes. An image w
 
 `store` writes bytes as such an image: each byte is the constant sample of one block (quantiser 8, so the coefficient is
 the byte less 128), 64 blocks a row, one restart interval a row. The thumbnail that is read back is the payload again.
-A payload of more rows than a frame may have is stored as several images end to end.
+A payload of more rows than a frame may have is stored as several images end to end; a text beyond one frame is written and
+read back a frame at a time, so the arrays stay at some tens of bytes for each byte of one frame (half a megabyte).
 
 Defined results: a null or empty text is 64 zero bytes. A media value that is null, truncated, not JPEG, or not baseline
 gives null dimensions and an error text, never an exception. Repeated rows give repeated rows; nothing is grouped.
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import ship, table
+from dossier.llm.common import lean, ship, table
 
 ACROSS = 64
 #: A frame's height is a 16-bit number of lines, 8 to a row of blocks.
 ROWS = 65_535 // 8
-#: Payload bytes that are encoded and decoded together.
-TOGETHER = 1 << 20
+#: Payload bytes of a whole frame, and of small texts that are encoded and decoded together.
+FRAME, TOGETHER = ROWS * ACROSS, 1 << 19
 
 #: Code length of each DC category 0..8 in the images that `store` writes, and of the only AC symbol, end of block.
 DC_LENGTHS = {5: 2, 6: 2, 4: 3, 7: 3, 3: 4, 0: 4, 2: 5, 1: 6, 8: 6}
@@ -427,7 +428,7 @@ def jpeg_columns(df: DataFrame, media: str, keep: tuple[str, ...]) -> DataFrame:
                 types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*keep, "width", "height", "thumb_sha256", "thumb_hash", "error"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def store_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = False) -> DataFrame:
@@ -450,22 +451,42 @@ def store_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             rows.append((len(x), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), _feature(images), media)[: len(names)])
         return rows
 
+    def long(x: bytes) -> tuple:
+        """The same row of a text beyond one frame."""
+        back_sha, media_sha, tail, sizes, features, kept_media = hashlib.sha256(), hashlib.sha256(), b"", [0, 0], [], []
+        for at in range(0, len(x), FRAME):
+            part = x[at : at + FRAME]
+            (media,) = store([np.frombuffer(part + bytes((-len(part)) % 64), np.uint8)])
+            ((images, error),) = thumbnails([media])
+            if error:
+                raise ValueError(error)
+            back = images[0].thumb.tobytes()
+            back_sha.update(back)
+            media_sha.update(media)
+            tail, sizes = back[-64:], [sizes[0] + len(back), sizes[1] + len(media)]
+            features.append(_feature(images))
+            kept_media += [media] if with_media else []
+        return (len(x), sizes[0], back_sha.hexdigest(), zlib.crc32(tail), sizes[1], media_sha.hexdigest(), "+".join(features), b"".join(kept_media))[: len(names)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             texts = whole.column(len(keep))
             at = 0
             while at < whole.num_rows:
                 end, size, some_texts = at, 0, []
-                while end < whole.num_rows and (end == at or size < TOGETHER) and end - at < 4096:
+                while end < whole.num_rows and size < TOGETHER and end - at < 4096:
                     x = (texts[end].as_py() or "").encode()
+                    if len(x) > FRAME and end > at:
+                        break
                     some_texts.append(x)
                     size += len(x) + 64
                     end += 1
-                columns = zip(*some(some_texts), strict=True)
+                rows = [long(some_texts[0])] if len(some_texts[0]) > FRAME else some(some_texts)
+                columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*whole.slice(at, end - at).columns[: len(keep)], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*keep, *names])
                 at = end
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def op7_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -486,6 +486,42 @@ def test_ngram_costs_of_an_open_alphabet(spark, monkeypatch):
     assert one == many and len(set(one)) > 20
 
 
+def test_verdict_equals_brute_force(spark):
+    """kept and bits_per_symbol by hand: a brute-force model of each language, costs, histogram, quartiles, band."""
+    rng = random.Random(21)
+    junk = lambda: "".join(rng.choice("qxzjvkwy") for _ in range(rng.randrange(3, 8)))
+    known = {"en": WORDS, "el": ["".join(rng.choice("αβγδεζηθικλ") for _ in range(5)) for _ in range(30)], None: ["日本", "語", "テキスト", "文"]}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(known))
+        share = rng.choice([0, 0, 0, 0, 0, 0.02, 0.3])
+        rows.append((i, " ".join(junk() if rng.random() < share else rng.choice(known[lang]) for _ in range(rng.randrange(40, 90))), lang))
+    rows += [(900, None, "en"), (901, "", None), (902, "word " * 80, "en"), (903, "w" * 5000, "el"), rows[0], (904, " ".join(known["en"][:3] * 30), "en")]
+    model = {}
+    for lang in known:
+        counted = Counter()
+        for _, t, x in rows:
+            if x == lang and t:
+                t = "    " + "".join(" " if c in " \t\n\v\f\r" else c.lower() if c.isascii() else c for c in t)
+                counted.update(tuple(t[i : i + 5]) for i in range(len(t) - 4))
+        model[lang] = {g: round(-np.log2(max(p, 1e-12)) * 1024) for g, p in brute_kneser_ney(counted).items()}
+    bins, failed = {}, {}
+    for n, (_, t, lang) in enumerate(rows):
+        b = brute_quality(t)
+        failed[n] = b[0] < 50 or 100 * b[4] > 50 * b[0]
+        padded = "    " + "".join(" " if c in " \t\n\v\f\r" else c.lower() if c.isascii() else c for c in t or "")
+        bins[n] = sum(model[lang][tuple(padded[i : i + 5])] for i in range(len(padded) - 4)) * 1024 // (len(t) * 1024) if t else None
+    want = []
+    for n, (d, _, lang) in enumerate(rows):
+        mine = sorted(bins[m] for m, r in enumerate(rows) if r[2] == lang and not failed[m] and bins[m] is not None)
+        q1, q2, q3 = (mine[-(-len(mine) * k // 4) - 1] for k in (1, 2, 3))
+        least, most = q2 - 4 * max(q2 - q1, 0.05 * 1024), q2 + 6 * max(q3 - q2, 0.01 * 1024)
+        want.append((d, not failed[n] and least <= bins[n] <= most, None if bins[n] is None else bins[n] / 1024))
+    got = [(r["doc_id"], r["kept"], r["bits_per_symbol"]) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert 20 < sum(k for _, k, _ in want) < sum(not x for x in failed.values())
+
+
 def test_gibberish_of_another_alphabet_costs_more(spark):
     """Greek was a run of one symbol, so shuffled letters scored as text."""
     rng = random.Random(3)
@@ -657,6 +693,104 @@ def test_stored_payloads_come_back():
     assert len(jpeg.thumbnails(made_of[-1:])[0][0]) == 2
 
 
+def by_the_book(media):
+    """Thumbnails of a file of baseline images of one component, bit by bit, with no code of ours: (width, height, rows of samples)."""
+    out, at = [], 0
+    while at < len(media):
+        assert media[at : at + 2] == b"\xff\xd8"
+        at += 2
+        tables, quant = {}, {}
+        while True:
+            marker, size = media[at + 1], media[at + 2] * 256 + media[at + 3]
+            body = media[at + 4 : at + 2 + size]
+            at += 2 + size
+            if marker == 0xDB:
+                quant[body[0]] = body[1]
+            elif marker == 0xC0:
+                height, width = body[1] * 256 + body[2], body[3] * 256 + body[4]
+            elif marker == 0xDD:
+                restart = body[0] * 256 + body[1]
+            elif marker == 0xC4:
+                while body:
+                    code, k, codes = 0, 17, {}
+                    for n in range(1, 17):
+                        for _ in range(body[n]):
+                            codes[format(code, f"0{n}b")] = body[k]
+                            code, k = code + 1, k + 1
+                        code *= 2
+                    tables[body[0]], body = codes, body[k:]
+            elif marker == 0xDA:
+                break
+        samples, need = [], -(-width // 8) * -(-height // 8)
+        while len(samples) < need:
+            data = bytearray()
+            while not (media[at] == 0xFF and media[at + 1] != 0):
+                data.append(media[at])
+                at += 2 if media[at] == 0xFF else 1
+            at += 2
+            bits, p, dc = "".join(format(x, "08b") for x in data), 0, 0
+
+            def symbol(codes):
+                nonlocal p
+                n = next(n for n in range(1, 17) if bits[p : p + n] in codes)
+                p += n
+                return codes[bits[p - n : p]]
+
+            for _ in range(min(restart, need - len(samples))):
+                n = symbol(tables[0])
+                raw = bits[p : p + n]
+                p += n
+                dc += 0 if not n else int(raw, 2) if raw[0] == "1" else int(raw, 2) - 2**n + 1
+                assert symbol(tables[16]) == 0
+                samples.append(round(dc * quant[0] / 8) + 128)
+            assert set(bits[p:]) <= {"1"} and len(bits) - p < 8
+        out.append((width, height, [samples[r : r + width // 8] for r in range(0, need, width // 8)]))
+    return out
+
+
+def brute_feature(width, height, rows):
+    """An 8x8 grid's cells against the mean, for images of 64 columns."""
+    cuts = lambda n: [(min(i * n // 8, n - 1), max(min((i + 1) * n // 8, n - 1) if i < 7 else n, min(i * n // 8, n - 1) + 1)) for i in range(8)]
+    mean = sum(map(sum, rows)) / (len(rows) * len(rows[0]))
+    bits = ""
+    for a, b in cuts(len(rows)):
+        for c, d in cuts(len(rows[0])):
+            cell = [x for row in rows[a:b] for x in row[c:d]]
+            bits += "1" if sum(cell) > len(cell) * mean else "0"
+    return f"{width}x{height}:{int(bits, 2):016x}"
+
+
+def test_stored_form_by_the_book(spark, docs, rows):
+    """An independent reader gets the payload back from the stored form, and the form's size, digest and feature by brute force."""
+    rng = random.Random(3)
+    more = [(700, "".join(chr(rng.choice([65, 255, 1, 0x4E00, 0x1F600])) for _ in range(3000))), (701, "a" * 64), (702, "\xff" * 700)]
+    both = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    seen = 0
+    for r in jpeg.store_texts(both, keep=("doc_id", "text"), with_media=True).collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        images = by_the_book(bytes(r["media"]))
+        assert bytes(x for _, _, lines in images for line in lines for x in line) == payload
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+        assert r["feature"] == "+".join(brute_feature(*x) for x in images)
+        seen += 1
+    assert seen == len(rows) + 3
+
+
+def test_a_text_beyond_one_frame_is_stored_by_frames(spark):
+    """The rows are those of the whole payload written at once."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (20, 300_000, 5, 120_000)]
+    got = {r["doc_id"]: r for r in jpeg.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), with_media=True).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        (media,) = jpeg.store([np.frombuffer(raw + bytes(-len(raw) % 64), np.uint8)])
+        ((images, _),) = jpeg.thumbnails([media])
+        assert bytes(got[i]["media"]) == media and got[i]["feature"] == jpeg._feature(images) and len(images) == 1 + (len(raw) - 1) // jpeg.FRAME
+        assert got[i]["payload_sha256"] == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest() and got[i]["tail_crc32"] == zlib.crc32((raw + bytes(-len(raw) % 64))[-64:])
+    assert max(got[i]["feature"].count("+") for i in got) >= 2
+
+
 def test_media_queries(spark, docs, none, rows):
     got = sorted((r[0] or -1, *r[1:5]) for r in jpeg.store_texts(docs).collect())
     want = []
