@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.sources import pdf
+
 EXTENSIONS = (".pdf", ".docx", ".txt")
 ENGINES = ("tesseract",)
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -70,11 +72,11 @@ def docx_text(content: bytes, options: dict | None = None) -> str:
 
 
 def pdf_text(content: bytes, options: dict | None = None) -> str:
-    """Text of a PDF by an installed library, where there is one."""
+    """Text of a PDF by `pypdf` where it is installed, else by the plain reader of this package."""
     try:
         import pypdf
-    except ImportError as e:
-        raise RuntimeError("PDF support needs an extractor: install pypdf or pass one") from e
+    except ImportError:
+        return pdf.text_of(content)
     return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages)
 
 

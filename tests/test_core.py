@@ -330,6 +330,52 @@ def test_read_documents(spark, folder):
     assert rows["three.docx"]["raw_text"] == "Skills\nSpark, Flink" and rows["two.pdf"]["error"].startswith("Could not extract") and rows["one.txt"]["raw_text"].startswith("Jane")
 
 
+def made_pdf(streams, fonts=b"", packed=False):
+    """A PDF by hand: a page for each content stream; with `packed`, compressed and with objects in an object stream."""
+    import zlib
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (len(streams), b" ".join(b"%d 0 R" % (20 + i) for i in range(len(streams)))), 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", 4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"}
+    put = lambda n, body: b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    stream = lambda head, data: b"<< %s /Length %d >>\nstream\n%s\nendstream" % (head, len(data), data)
+    out = b"%PDF-1.5\n%\xe2\xe3\n"
+    for i, s in enumerate(streams):
+        objects[20 + i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (40 + i)
+        out += put(40 + i, stream(b"/Filter /FlateDecode", zlib.compress(s)) if packed else stream(b"", s))
+    out += put(5, stream(b"", fonts))
+    if packed:
+        bodies = [(n, objects[n]) for n in sorted(objects)]
+        head = b" ".join(b"%d %d" % (n, sum(len(b) + 1 for _, b in bodies[:i])) for i, (n, _) in enumerate(bodies)) + b"\n"
+        out += put(9, stream(b"/Type /ObjStm /N %d /First %d /Filter /FlateDecode" % (len(bodies), len(head)), zlib.compress(head + b"\n".join(b for _, b in bodies))))
+    else:
+        out += b"".join(put(n, b) for n, b in objects.items())
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+CMAP = b"1 begincodespacerange <0000> <ffff> endcodespacerange 2 beginbfchar <0001> <0041> <0002> <00e90301> endbfchar 1 beginbfrange <0010> <0012> <0061> <0020> <0021> [<4e2d> <6587>] endbfrange"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_text(packed):
+    from dossier.sources import pdf
+
+    one = b"BT /F1 12 Tf 72 700 Td (Jane \\(Doe\\) \\351t\\\n\\351) Tj 0 -14 Td [(Sen) 20 (ior) -300 (Engineer)] TJ T* (Skills:) ' ET BT 1 0 0 1 72 600 Tm (a) Tj 1 0 0 1 90 600 Tm (b) Tj ET BI /W 1 ID \x00(x) Tj EI"
+    two = b"BT /F2 10 Tf <00010002> Tj 0 -12 TD <001000110012> Tj T* <00200021> Tj ET % (comment) Tj"
+    assert pdf.text_of(made_pdf([one, two], CMAP, packed)) == "Jane (Doe) \xe9t\xe9\nSenior Engineer\nSkills:\na b\nA\xe9\u0301\nabc\n中文"
+    for bad in (b"nothing", b"%PDF-1.4 trailer << /Encrypt 8 0 R >>"):
+        with pytest.raises(ValueError):
+            pdf.text_of(bad)
+    assert pdf.text_of(b"%PDF-1.4") == ""
+
+
+def test_pdf_files_are_read(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(made_pdf([b"BT (Jane) Tj 0 -9 Td (jane@x.org) Tj ET"]))
+    (tmp_path / "b.PDF").write_bytes(made_pdf([b""]))
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 /Encrypt 1 0 R")
+    rows = {r["input"][-5:]: r for r in documents.read_documents(spark, documents.discover([str(tmp_path)])).collect()}
+    assert rows["a.pdf"]["raw_text"] == "Jane\njane@x.org" and rows["a.pdf"]["error"] is None
+    assert rows["b.PDF"]["error"].startswith("Could not extract") and "encrypted" in rows["c.pdf"]["error"]
+
+
 def test_parse_and_render(spark, folder):
     docs = documents.read_documents(spark, [str(folder / "one.txt")])
     (row,) = parse(docs, CONFIG, rule_tagger(CONFIG), chunk.by_chars(4), F.lit("2023-01-01").cast("date")).collect()
