@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that cross to Python at a time: texts may be long, and a batch is held whole on both sides.
 ROWS = 512
+#: Seconds between two collections of the driver's garbage.
+RELEASE_S = 5.0
 #: A key with more than one in HOT of all rows is hot, so there are at most HOT of them.
 HOT = 1000
 
@@ -90,11 +93,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     fs, path = _place(df.sparkSession, at)
     fs.deleteOnExit(path)
     _written(df.sparkSession).append(at)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out._dossier_at = at
     return out
 
 
+def release(spark: SparkSession, now: bool = False) -> None:
+    """Collect the driver's garbage, every few seconds at most unless `now`: shuffle files and broadcasts of ended jobs go when
+    the objects that stand for them are collected, and a driver whose heap is far from full may not do that for long."""
+    sc = spark.sparkContext
+    if now or time.monotonic() - getattr(sc, "_dossier_released", 0.0) > RELEASE_S:
+        gc.collect()
+        sc._jvm.System.gc()
+        sc._dossier_released = time.monotonic()
+
+
 def _written(spark: SparkSession) -> list[str]:
     """Places of the tables that `cut` has written in this application and nobody has deleted."""
     sc = spark.sparkContext
@@ -109,15 +123,13 @@ def _place(spark: SparkSession, at: str):
     return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
 
-def discard(*tables: DataFrame, release: bool = False) -> None:
-    """Delete tables that `cut` has returned, once what was made of them is written. With `release` the driver also lets go of
-    what ended jobs have left: their shuffle files go when the objects that stand for them are collected."""
+def discard(*tables: DataFrame, at_once: bool = False) -> None:
+    """Delete tables that `cut` has returned, once what was made of them is written; with `at_once`, ended jobs' shuffle files too."""
     places = [t._dossier_at for t in tables if hasattr(t, "_dossier_at")]
     if tables:
         _delete(tables[0].sparkSession, places)
-    if release:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    if at_once:
+        release(tables[0].sparkSession, True)
 
 
 def _delete(spark: SparkSession, places: list[str]) -> None:
@@ -137,8 +149,7 @@ def in_turn(stage: Callable) -> Callable:
         sc = spark.sparkContext
         read = docs.inputFiles() if getattr(sc, "_dossier_left", None) else []
         _delete(spark, [at for at in getattr(sc, "_dossier_left", []) if not any(x.startswith(at) or x.startswith(at.replace("file://", "file:", 1)) for x in read)])
-        gc.collect()
-        sc._jvm.System.gc()
+        release(spark, True)
         before = set(_written(spark))
         out = stage(spark, docs, sf_dir)
         sc._dossier_left = [at for at in _written(spark) if at not in before]
@@ -160,9 +171,10 @@ def utf8(text: Column) -> Column:
 def hot_keys(rows: DataFrame, key: str, least: int = 500) -> DataFrame | None:
     """(key, __hot) of the keys with more than one in HOT of all rows, and more than `least`; None if there are none."""
     counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    hot = counts.filter((F.col("__n") * HOT > total) & (F.col("__n") > least)).select(key, F.lit(True).alias("__hot"))
-    return hot if hot.limit(1).count() else None
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    if not total or most * HOT <= total or most <= least:
+        return None
+    return counts.filter((F.col("__n") * HOT > total) & (F.col("__n") > least)).select(key, F.lit(True).alias("__hot"))
 
 
 def join_salted(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None, parts: int = 64) -> DataFrame:
@@ -182,9 +194,9 @@ def join_by_key(rows: DataFrame, side: DataFrame, key: str, weight: str) -> Data
     A key with more than one in HOT of all rows would meet in one task; there are at most HOT such keys, so they are joined
     by broadcast and only the others are dealt out by key.
     """
-    total = side.agg(F.sum(weight)).first()[0] or 0
-    hot = side.filter(F.col(weight) * HOT > total)
-    if hot.limit(1).count() == 0:
+    total, most = side.agg(F.sum(weight), F.max(weight)).first()
+    if not total or most * HOT <= total:
         return rows.join(side.drop(weight), key, "left")
+    hot = side.filter(F.col(weight) * HOT > total)
     warm = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side.filter(F.col(weight) * HOT <= total).drop(weight), key, "left")
     return warm.unionByName(rows.join(F.broadcast(hot.drop(weight)), key))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dossier.llm import kernel as K
-from dossier.llm.common import cut, discard, hot_keys, join_by_key, join_salted, lean, ship, table
+from dossier.llm.common import HOT, cut, discard, hot_keys, join_by_key, join_salted, lean, ship, table
 
 WORDS, NUM = 5, 80
 #: Least size of a set in each tier; a set is in every tier from its least size up to OVERLAP times the next tier's, so that
@@ -60,8 +60,8 @@ BITS, SKETCH, LEADERS = 512, 128, 8
 SAMPLE, MARGIN, SPARE = 110, 8.0, 12.0
 #: Members of a list that meet all its other members in one task.
 SALT = 4096
-#: Links in a file.
-FILE = 500_000
+#: Links in a file, and of a node from which it is a hub (if they also are more than one in HOT of all).
+FILE, HUB = 500_000, 500
 #: Seeds of the hashes that make orders 2 and 3.
 SEEDS = (0x5DEECE66D, 0x2545F4914F6CDD1D)
 FACTS = [*(f"w{i}" for i in range(BITS // 64)), *(f"o{k}{i}" for k in (2, 3) for i in range(SKETCH // 64))]
@@ -347,18 +347,19 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state or not now[0]:
+        by_root = edges.groupBy(F.col("v").alias("u")).agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum"))
+        count, total, most = by_root.agg(F.sum("n"), F.sum("sum"), F.max("n")).first()
+        if (count, total) == state or not count:
             return edges.withColumnsRenamed({"u": "k", "v": "root"})
-        state, before = now, edges
+        state, before = (count, total), edges
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hubs = hot_keys(edges.select(F.col("v").alias("u")), "u")
+        hubs = by_root.filter((F.col("n") * HOT > count) & (F.col("n") > HUB)).select("u", F.lit(True).alias("__hot")) if most * HOT > count and most > HUB else None
         large = join_salted(both, least, "u", hubs).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = cut(small.coalesce(1 + now[0] // FILE), "edges")  # few files; a step makes no more edges than there were
+        edges = cut(small.coalesce(1 + count // FILE), "edges")  # few files; a step makes no more edges than there were
         discard(before)
 
 
@@ -423,7 +424,7 @@ def _links(rows: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, boo
     if pairs.limit(1).count():
         last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(verified(pairs, kept, num)))
     roots = cut(firsts.join(last, "k", "left").select("digest", "d", F.coalesce("root", "k").alias("root"), "copies"), "near-roots")
-    discard(firsts, posted, lists, kept, star, labelled, pairs, release=True)
+    discard(firsts, posted, lists, kept, star, labelled, pairs, at_once=True)
     return documents, roots, any_several, repeated
 
 

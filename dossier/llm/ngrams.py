@@ -238,7 +238,7 @@ class Finder:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     made = [cut(counts(docs, text, lang), "quality-grams")]
     model = Model(probabilities(made[0], made))
-    discard(*made, release=True)
+    discard(*made, at_once=True)
     return model
 
 
