@@ -25,7 +25,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: year; or that all rights are reserved. Comment marks may come first.
 COPYRIGHT_LINE = (
     r"^[ \t/*#;]*(([Cc]opyright|COPYRIGHT)[ \t:,]*(\([cC]\)|©|[0-9]{4}|<|\[|\{|[Bb]y )[^\n]*|(\([cC]\)|©)[ \t]*([0-9]{4}|<|\[)[^\n]*"
-    r"|[Cc]opyright[ \t]+[A-Z][A-Za-z.'-]*([ \t]+[A-Z&][A-Za-z.'-]*)*[ \t\r,.]*|[Aa]ll [Rr]ights [Rr]eserved\.?[ \t\r]*)$"
+    r"|[Cc]opyright[ \t]+[A-Z][A-Za-z.,'-]*([ \t]+([A-Z&][A-Za-z.,'-]*|and|of|the))*[ \t\r]*|[Aa]ll [Rr]ights [Rr]eserved\.?[ \t\r]*)$"
 )
 #: Steps on lower-case text, in order; fixed values. Patterns mean the same to Java and RE2.
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©\x{2010}-\x{205E}\x{00A0}]+"
