@@ -32,7 +32,7 @@ from dossier.llm import kernel as K
 from dossier.llm.common import lean, ship, table
 
 #: Bytes that a task's memo of fragments may hold, bytes that an entry takes besides its strings, and the longest fragment in it.
-MEMO, ENTRY, SHORT = 24 << 20, 300, 64
+MEMO, ENTRY, SHORT = 40 << 20, 300, 64
 #: The split of the byte-level pre-tokenizer, which its files name and don't spell out; fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = b"\t\n\x0b\x0c\r "
@@ -116,17 +116,21 @@ def load(path: str) -> ByteBPE:
 
 
 class _Memo(dict):
-    """fragment -> what `make` says of it; long ones aren't kept, and all are forgotten at MEMO bytes."""
+    """fragment -> what `make` says of it. Long ones aren't kept; at half of MEMO bytes the entries become the old generation,
+    from which those still in use come back, and the one before it is forgotten."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.size = make, 0
+        self.make, self.size, self.old = make, 0, {}
 
     def __missing__(self, key):
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) <= SHORT:
             self.size += len(key) + len(out[0]) + len(out[1]) + ENTRY
-            if self.size > MEMO:
+            if 2 * self.size > MEMO:
+                self.old = dict(self)
                 self.clear()
                 self.size = 0
             self[key] = out

@@ -247,16 +247,22 @@ def test_every_code_point_in_a_long_fragment(library):
         assert made_of.encode_long(text) == library.encode(text, add_special_tokens=False).ids
 
 
-def test_forced_cuts_inside_words():
+def test_forced_cuts_inside_words(monkeypatch):
     """Long pieces without white space are cut, and only where no token holds both bytes."""
     made_of = bpe.load(bpe.tokenizer_path("byte_bpe_50k.json"))
     raw = ("wordqjzxwvkq" * 3 + "日本語テキスト" * 9 + "éüñ" * 9).encode()
     cuts = made_of.forced(raw)
     assert len(cuts) > 5 and not any(raw[c - 1 : c + 1] in t for c in cuts for t in made_of.bytes_of.values())
     memo = bpe.Codec(bpe.tokenizer_path("byte_bpe_50k.json")).memo
+    monkeypatch.setattr(bpe, "MEMO", 200_000)
     for i in range(3000):
-        memo[b"w%d " % i * 3]
-    assert len(memo) > 2000 and memo.size <= bpe.MEMO and memo.size >= sum(len(k) + len(v[0]) for k, v in memo.items())
+        assert memo[b"w%d " % i] == memo.make(b"w%d " % i)
+        memo[b"often"]
+    held = [*memo.items(), *memo.old.items()]
+    assert 200 < len(held) < 700 and sum(len(k) + len(v[0]) + len(v[1]) + bpe.ENTRY for k, v in held) <= bpe.MEMO + 1000
+    assert any(k == b"often" for k, _ in held) and not any(k == b"w0 " for k, _ in held)
+    long = b"x" * 1000
+    assert memo[long] and long not in memo
 
 
 def test_forced_pairs_occur_in_no_token():
