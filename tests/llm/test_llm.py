@@ -1032,6 +1032,30 @@ def test_queries_equal_sql(spark):
         assert table(df.select(*columns)) == sorted(map(repr, con.sql(sql).select(*columns).to_arrow_table().to_pylist())), name
 
 
+def test_stages_take_awkward_rows(spark, docs, none, rows):
+    """Each stage by itself on nulls, empty and long texts, repeats, clashing columns, and on an empty table."""
+    import corpus_pipeline
+
+    empty = sum(not words(r[1]) for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, "").toArrow().to_pylist()
+        ids = [r["doc_id"] for r in got]
+        if name == "bpe":
+            assert len(got) == len(rows) and sum(r["n_tokens"] == 0 for r in got) == sum(not r[1] for r in rows)
+        else:
+            assert all(list(r) == docs.columns for r in got)
+        if name == "quality rules":
+            assert 0 < len(got) < len(rows) - empty and None in ids and all(len(words(r["text"])) >= 50 for r in got)
+        if name == "near duplicates":
+            assert sorted(i for i in ids if i is not None) == sorted({c for d, _, c in components(rows, 5, 80) if d == c and d != -1}) and None in ids
+        if name == "secret scans":
+            assert len(got) == len(rows) and not any(brute_spans(r["text"]) for r in got)
+        if name == "source mix":
+            assert not any(not words(r["text"]) for r in got) and max(Counter(i for i in ids if i is not None).values()) <= 6
+        nothing = stage(spark, none, "")
+        assert nothing.count() == 0 and (name == "bpe" or nothing.columns == docs.columns)
+
+
 @needs_data
 def test_pipeline_stages(spark):
     import corpus_pipeline
