@@ -21,7 +21,9 @@ two of its 64-bit shingle hashes.
 Near copies in their thousands are joined without all their pairs: equal sets are one node; each member of a list is first
 compared with LEADERS leaders of the list of like length; then, once those links have been contracted, only pairs whose
 documents are still in different components are generated and compared, long lists in salted parts. A pair that shares a
-prefix shingle is thus compared or already connected, so no component is lost.
+prefix shingle is thus compared or already connected, so no component is lost. Near copies share dozens of lists: a pair is
+emitted only from the first list that both documents have among the HEADS smallest of their longer lists, as it is tested alike
+in all. What is emitted is verified by blocks of a list: a set goes once to each block of its list, not once with each pair.
 
 Defined results: a text without words has the empty set and links with nothing. Fewer words than a shingle make one
 shingle. Equal sets link. Rows of one id are one node of the join: their links are pooled, also where their texts differ.
@@ -60,6 +62,9 @@ BITS, SKETCH, LEADERS = 512, 128, 8
 SAMPLE, MARGIN, SPARE = 110, 8.0, 12.0
 #: Members of a list that meet all its other members in one task.
 SALT = 4096
+#: Members from which a list is one of the longer ones, of which a document's HEADS smallest tell which list emits a pair; and
+#: shingles of a list's sets in one side of a block.
+LONGER, HEADS, SIDE = 16, 8, 1 << 14
 #: Links in a file, and of a node from which it is a hub (if they also are more than one in HOT of all).
 FILE, HUB = 500_000, 500
 #: Seeds of the hashes that make orders 2 and 3.
@@ -342,6 +347,21 @@ def verified(pairs: DataFrame, kept: DataFrame, num: int) -> DataFrame:
     return join_salted(left.join(heavy("b"), "b"), heavy("a"), "a", hot).filter(100 * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
+def verified_by_block(pairs: DataFrame, kept: DataFrame, num: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (block, a, b) that link, and the table of blocks that they are read from."""
+    ends = F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))
+    blocks = cut(pairs.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"), ends.alias("ends")), "near-blocks")
+    held = blocks.select("block", F.explode("ends").alias("k")).join(kept.select("k", "members"), "k")
+    sets_of = held.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("k", "members"))).alias("sets"))
+    links = F.filter("pairs", lambda p: _linked(F.element_at("sets", p["a"]), F.element_at("sets", p["b"]), num))
+    return blocks.select("block", "pairs").join(sets_of, "block").select(F.explode(links).alias("p")).select("p.*"), blocks
+
+
+def _linked(a: Column, b: Column, num: int) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= num * (F.size(a) + F.size(b) - both)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(k, root): the smallest node that each node of a link reaches, by alternating large-star and small-star steps."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -410,19 +430,30 @@ def _links(rows: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, boo
     first = components(verified(star, kept, num))
 
     labelled = cut(lists.join(first, "k", "left").withColumn("c", F.coalesce("root", "k")).select("h", "k", "c", *facts), "near-labelled")
-    groups = labelled.groupBy("h", "c").agg(F.count("*").alias("size"))
+    groups = labelled.groupBy("h", "c").agg(F.count("*").alias("size"), F.sum("n").alias("whole"))
     # of each list that several components meet in, its largest component: pairs are sought for the other members only
-    mixed = groups.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.min("c").alias("p"), F.max("c").alias("q"), F.sum("size").alias("size")).filter("p <> q")
-    parts = 1 + F.floor(F.col("size") / SALT).cast("int")
-    open_lists = labelled.join(mixed.select("h", F.col("top.c").alias("top"), parts.alias("parts")), "h")
+    mixed = groups.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.min("c").alias("p"), F.max("c").alias("q"), F.sum("size").alias("size"), F.sum("whole").alias("whole")).filter("p <> q")
+    parts, sides = 1 + F.floor(F.col("size") / SALT).cast("int"), 1 + F.floor(F.col("whole") / SIDE)
+    # a pair of two components shares open lists only, and each would emit it: the first of the longer ones does, or all shorter ones
+    longer = labelled.select("h", "k").join(mixed.filter(F.col("size") >= LONGER).select("h"), "h")
+    heads = longer.groupBy("k").agg(F.slice(F.array_sort(F.collect_set("h")), 1, HEADS).alias("heads"))
+    open_lists = labelled.join(mixed.select("h", F.col("top.c").alias("top"), parts.alias("parts"), sides.alias("sides")), "h").join(heads, "k", "left")
+    earlier = F.filter(F.coalesce("heads", F.array().cast("array<long>")), lambda x: x < F.col("h"))
+    open_lists = open_lists.withColumn("earlier", earlier).drop("heads")
     x = open_lists.filter("c <> top").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).alias("x")
     y = open_lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     one_way = (F.col("y.c") == F.col("x.top")) | (F.col("x.k") < F.col("y.k"))
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & one_way & close("x", "y", num))
-    pairs = cut(pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "near-pairs")
+    once_only = ~F.arrays_overlap("x.earlier", "y.earlier")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") != F.col("y.c")) & one_way & close("x", "y", num) & once_only)
+    pairs = pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), F.col("x.h").alias("h"), F.col("x.sides").alias("sides"))
+    side = lambda k: F.pmod(F.xxhash64(k), F.col("sides"))
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.xxhash64("h", side("a"), side("b"))).alias("block"))
+    pairs = cut(pairs.join(star, ["a", "b"], "left_anti"), "near-pairs")
     last = first
     if pairs.limit(1).count():
-        last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(verified(pairs, kept, num)))
+        more, blocks = verified_by_block(pairs, kept, num)
+        last = components(first.select(F.col("k").alias("a"), F.col("root").alias("b")).unionAll(more))
+        discard(blocks)
     roots = cut(firsts.join(last, "k", "left").select("digest", "d", F.coalesce("root", "k").alias("root"), "copies"), "near-roots")
     discard(firsts, posted, lists, kept, star, labelled, pairs, at_once=True)
     return documents, roots, any_several, repeated

@@ -368,6 +368,36 @@ def test_a_long_list_is_joined_in_parts(spark, monkeypatch):
     assert found(near.near_components(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), 4, 85)) == components(rows)
 
 
+@pytest.mark.parametrize(("longer", "side"), [(near.LONGER, near.SIDE), (2, 300)])
+def test_a_pair_of_near_copies_is_emitted_from_one_list(spark, monkeypatch, longer, side):
+    """Copies just below the threshold share dozens of lists and stay apart: each pair is met once, however many they share."""
+    met = []
+
+    def joined(self, other, on=None, how=None, f=type(spark.range(0)).join):
+        out = f(self, other, on, how)
+        if "earlier" in self.columns and "earlier" in other.columns:
+            pair = out.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).toArrow().to_pylist()
+            met.append(Counter((p["a"], p["b"]) for p in pair))
+        return out
+
+    rng = random.Random(6)
+    base = [rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(200)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 3, 3, 4])):
+            copy[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(copy), "en", "a"))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near, "LONGER", longer)
+    monkeypatch.setattr(near, "SIDE", side)
+    monkeypatch.setattr(near, "LEADERS", 1)
+    monkeypatch.setattr(type(df), "join", joined)
+    want = components(rows)
+    assert found(near.near_components(df, 4, 85)) == want
+    assert len(met) == 1 and len(met[0]) > 20 and sum(met[0].values()) <= 1.1 * len(met[0])
+
+
 def test_prefixes_of_linked_sets_meet_in_a_tier():
     """Also where a part has too few shingles of one set or of both."""
     rng = np.random.default_rng(4)
