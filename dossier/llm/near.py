@@ -217,15 +217,24 @@ def _has(bits: np.ndarray, b: int) -> bool:
     return len(bits) > 0 and bool(int(bits[b >> 6]) >> (b & 63) & 1)
 
 
-def shingle_rows(docs: DataFrame, k: int, num: int, hot: np.ndarray, several: np.ndarray) -> DataFrame:
-    """(h, k, extra, hots): shingles of documents in their tiers but the hot ones; a row with extra > 0 tells of the document:
-    2**40 + the prefix length less the shingles that aren't hot, with the hot shingles of its prefix.
+def _picked(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose id's place (the third column) is in a bitmap."""
+    for batch in batches:
+        b = batch.column(2).to_numpy(zero_copy_only=False)
+        batch = batch.filter(pa.array((wanted[b >> 6] >> (b & 63).astype(np.uint64)) & U(1) == 1))
+        if batch.num_rows:
+            yield batch
+
+
+def shingle_rows(docs: DataFrame, ids: DataFrame, k: int, num: int, hot: np.ndarray, several: np.ndarray) -> DataFrame:
+    """(h, k, extra, hots): shingles of the documents whose id's place `b` is in `ids` in their tiers but the hot ones; a row with
+    extra > 0 tells of the document: 2**40 + the prefix length less the shingles that aren't hot, with the hot shingles of its prefix.
 
     A document's key is its id, or a hash of id and set where its id's bit says that the id has several sets."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, several))
+    shared = docs.sparkSession.sparkContext.broadcast((hot, several, _bitmap(ids)))
 
     def run(batches):
-        known, bits = shared.value
+        known, bits, wanted = shared.value
         h, key, extra, hots = [], [], [], []
         size = 0
 
@@ -244,7 +253,7 @@ def shingle_rows(docs: DataFrame, k: int, num: int, hot: np.ndarray, several: np
             column = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64()), mask=pa.array(~has))
             return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(key, np.int64), n)), pa.array(more), column], ["h", "k", "extra", "hots"])
 
-        for r, batch, values in _rows(batches, k):
+        for r, batch, values in _rows(_picked(batches, wanted), k):
             d = batch.column(0)[r].as_py()
             if d is None or not len(values):
                 continue
@@ -270,16 +279,18 @@ def shingle_rows(docs: DataFrame, k: int, num: int, hot: np.ndarray, several: np
     return docs.mapInArrow(lean(run), "h long, k long, extra long, hots array<long>")
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(h, k): the shingles of each document's prefix under order 1 that some other document has too.
+def postings(tokens: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h, k): the shingles of each document's prefix under order 1 that some other document has too, for the keys of `firsts`.
 
     A document knows how many shingles aren't hot; those that don't come back with a count of 2 or more are its own
-    alone, are the rarest, and fill the prefix first.
+    alone, are the rarest, and fill the prefix first. They are dealt to their documents as rows: a task of shingles has
+    hardly two of one document, so lists that it collected first would be a row each, of several times the bytes.
     """
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1 OR extra > 0")
     shared = F.when(F.col("extra") == 0, F.struct(F.col("df"), F.col("h")))
     # rows that repeat an id and text only lengthen its prefix, which is safe
-    own = counted.groupBy("k", _tier("h").alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.sort_array(F.collect_list(shared)).alias("shared"))
+    dealt = counted.repartition("k").join(firsts.select("k"), "k", "left_semi")
+    own = dealt.groupBy("k", _tier("h").alias("tier")).agg(F.max("extra").alias("extra"), F.max("hots").alias("hots"), F.sort_array(F.collect_list(shared)).alias("shared"))
     # prefix length - (cold - shared) of the shared ones, then the hot ones
     want = (F.col("extra") - F.lit(1 << 40)) + F.size("shared")
     prefix = F.slice("shared", F.lit(1), F.greatest(want, F.lit(0)).cast("int"))
@@ -309,18 +320,11 @@ def sets(docs: DataFrame, ids: DataFrame, k: int, num: int, several: np.ndarray)
         wanted, bits = shared.value
         out, size = [], 0
 
-        def picked():
-            for batch in batches:
-                b = batch.column(2).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array((wanted[b >> 6] >> (b & 63).astype(np.uint64)) & U(1) == 1))
-                if batch.num_rows:
-                    yield batch
-
         def flush():
             key, n, p2, p3, members = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(p2, pa.list_(pa.int32())), pa.array(p3, pa.list_(pa.int32())), pa.array(members, pa.list_(pa.int64()))], ["k", "n", "p2", "p3", "members"])
 
-        for r, batch, values in _rows(picked(), k):
+        for r, batch, values in _rows(_picked(batches, wanted), k):
             d, n = batch.column(0)[r].as_py(), len(values)
             if d is None or not n:
                 continue
@@ -401,12 +405,15 @@ def _links(rows: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, boo
         return marked.withColumn("k", F.when(F.col("marked"), F.col("h")).otherwise(F.col("d"))).drop("b", "marked")
 
     documents = keyed(documents).drop("h")
-    # equal sets are one node: of several, only the first is compared with others
-    firsts = cut(documents.filter("d IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("k").alias("k"), F.min("d").alias("d"), F.count("*").alias("copies")), "near-firsts")
+    # equal sets are one node: of several, only the first is counted and compared with others
+    first_of = F.min(F.struct("k", F.col("d").alias("of"))).alias("first")
+    firsts = documents.filter("d IS NOT NULL AND n > 0").groupBy("digest").agg(first_of, F.min("d").alias("d"), F.count("*").alias("copies"))
+    firsts = cut(firsts.select("digest", "first.k", "first.of", "d", "copies"), "near-firsts")
 
     hot = profile.filter("kind = 1").groupBy("h").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "h").limit(HOT_MAX).select("h").toArrow()["h"].to_numpy()
     placed = rows.withColumn("__t", _bit("__d"))
-    posted = cut(postings(shingle_rows(placed, k, num, np.sort(hot), bits)).join(firsts.select("k"), "k", "left_semi"), "near-postings")
+    tokens = shingle_rows(placed, firsts.select(_bit("of").alias("b")), k, num, np.sort(hot), bits)
+    posted = cut(postings(tokens, firsts), "near-postings")
 
     # of lists of equal members one is joined; members are compared by two 64-bit hashes of all of them and their number
     members = posted.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).filter("size > 1")

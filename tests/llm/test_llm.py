@@ -410,6 +410,27 @@ def test_a_pair_of_near_copies_is_emitted_from_one_list(spark, monkeypatch, long
     assert len(met) == 1 and len(met[0]) > 20 and sum(met[0].values()) <= 1.1 * len(met[0])
 
 
+@pytest.mark.parametrize("several", [False, True])
+def test_copies_are_neither_counted_nor_collected_before_they_are_dealt(spark, monkeypatch, several):
+    """Of equal sets one sends its shingles, and these go to their documents as rows, not in collected lists."""
+    met = []
+
+    def spied(tokens, *firsts, f=near.postings):
+        out = f(tokens, *firsts)
+        met.append((tokens.select("k").distinct().count(), out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    rng = random.Random(8)
+    base = [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(60)) for _ in range(12)]
+    rows = [(i, base[i % 12]) for i in range(60)] + [(60 + i, t + " tail") for i, t in enumerate(base[:5])]
+    rows += [(3, base[7] + " other"), (-9, base[2]), (-9, base[4])] if several else []
+    monkeypatch.setattr(near, "postings", spied)
+    assert found(near.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85)) == components(rows)
+    (sent, plan), sets = met[0], len({frozenset(shingled(t, 4)) for _, t in rows})
+    assert sets <= sent <= sets + 4 * several
+    assert "partial_collect_list" in plan and not any("Exchange" in line for line in plan[: plan.index("partial_collect_list")].splitlines())
+
+
 def test_prefixes_of_linked_sets_meet_in_a_tier():
     """Also where a part has too few shingles of one set or of both."""
     rng = np.random.default_rng(4)
