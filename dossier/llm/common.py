@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +59,21 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # a C library without it
-                pass
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Collect this process's garbage and give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; one of our own only on one machine where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -101,14 +107,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession, now: bool = False) -> None:
     """Collect the driver's garbage, every few seconds at most unless `now`: shuffle files and broadcasts of ended jobs go when
-    the objects that stand for them are collected, and a driver whose heap is far from full may not do that for long."""
+    the objects that stand for them are collected, and a driver whose heap is far from full may not do that for long. What its
+    two processes have freed outside the heap (compiler arenas, the many threads of ended exchanges) goes back to the system."""
     sc = spark.sparkContext
     if now or time.monotonic() - getattr(sc, "_dossier_released", 0.0) > RELEASE_S:
-        gc.collect()
+        give_back()
         sc._jvm.System.gc()
+        _trim_jvm(spark)
         sc._dossier_released = time.monotonic()
 
 
+def _trim_jvm(spark: SparkSession) -> None:
+    """malloc_trim in the driver's JVM, by its diagnostic command; a JVM without that command goes on as it is."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_dossier_trims", True):
+        return
+    jvm, array = sc._jvm, sc._gateway.new_array
+    try:
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = array(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = array(jvm.Object, 0), array(jvm.String, 0)
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        sc._dossier_trims = False
+
+
 def _written(spark: SparkSession) -> list[str]:
     """Places of the tables that `cut` has written in this application and nobody has deleted."""
     sc = spark.sparkContext

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, jpeg, kernel, licenses, mixing, near, ngrams, quality, secrets, sharding, token_counts, toxicity
+from dossier.llm import bpe, common, jpeg, kernel, licenses, mixing, near, ngrams, quality, secrets, sharding, token_counts, toxicity
 
 TYPE = "doc_id long, text string, lang string, source string, n_chars long, __text string, size int, k long, h long, __row string, kind string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -299,6 +299,31 @@ def test_token_queries(docs, none, rows, library):
     assert token_counts.token_counts(none, path).count() == bpe.encode_decode(none, path, with_ids=True).count() == 0
 
 
+# ---- what the operators share
+
+
+def test_release_gives_back_what_the_drivers_jvm_has_freed(spark):
+    """Memory outside the heap below a block that is still in use: garbage collection alone leaves it with the process."""
+    jvm = spark.sparkContext._jvm
+    at = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+
+    def mb():
+        with open(at) as f:
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) / 1024
+
+    common.release(spark, True)
+    held = [jvm.java.util.zip.Deflater() for _ in range(1500)]
+    full = mb()
+    for x in held[:-1]:
+        x.end()
+    common.release(spark, True)
+    left = mb()
+    held[-1].end()
+    if not getattr(spark.sparkContext, "_dossier_trims", True):
+        pytest.skip("this JVM has no such command")
+    assert full - left > 60
+
+
 # ---- near duplicates (op4)
 
 
