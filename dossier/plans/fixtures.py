@@ -5,6 +5,9 @@ The statements are the same for both engines but for the marked places. They rea
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ SELECT doc_id, CAST(pos AS INT) AS pos,
 FROM l
 """
 
+#: The labels of TOKENS_SQL by the words' length modulo 12.
+TOKEN_LABELS = ("LOCATION", "TITLE", "COMPANY", "SKILL", "DATE", "EMAIL", "O", "DEGREE", "FIELD", "INSTITUTION", "NAME", "PHONE")
+
 EXPERIENCE_SQL = r"""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
 SELECT o_custkey AS doc_id, CAST(rn AS INT) AS rn,
@@ -138,6 +144,41 @@ def settings(companies: tuple[str, ...] = COMPANIES) -> Config:
     return from_dict(SETTINGS, companies)
 
 
+def unique_ids(documents: DataFrame) -> bool:
+    """Whether no two documents, of null ids either, share an id; only the ids are read."""
+    return documents.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def _entity(pos: int, label: str) -> str:
+    return "O" if label == "O" else f"I-{label}" if pos % 3 == 1 else label if pos % 11 == 5 else f"B-{label}"
+
+
+#: The entities of TOKENS_SQL by position modulo 33 and label.
+_ENTITIES = [[_entity(pos, label) for label in TOKEN_LABELS] for pos in range(33)]
+_SCORES = [(i + 90) / 100 for i in range(10)]
+
+
+def tokens(text: str) -> Iterator[tuple[str, str, int, int, float]]:
+    """The rows of TOKENS_SQL for one document, in order: entity, word, start, end, score."""
+    at = 0
+    for pos, word in enumerate(text.split(" ")):
+        n = len(word)
+        if n:
+            kind = n % 12
+            if pos % 7 == 3:
+                said = f"##{word}"
+            elif kind == 5:
+                said = f"{word}@x.org"
+            elif kind == 0:
+                said = f"{word}, OR"
+            elif kind == 4:
+                said = "Present" if pos % 2 else f"June {1990 + pos % 30}"
+            else:
+                said = word
+            yield _ENTITIES[pos % 33][kind], said, at, at + n, _SCORES[pos % 10]
+        at += n + 1
+
+
 def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens in order."""
     rows = frame(spark, sf_dir, TOKENS_SQL)
@@ -145,6 +186,20 @@ def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(token)), lambda x: x["t"]).alias("tokens"))
 
 
+#: One of the statements whose union is `spans` in SPANS_SQL.
+_BRANCH = re.compile(r"SELECT d, (?P<st>[^,]+?)(?: AS st)?, (?P<label>'[A-Z]+')(?: AS label)?, (?P<txt>.+?)(?: AS txt)? FROM e(?: WHERE (?P<when>.+))?")
+
+
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of SPANS_SQL. Its union would number the orders once for each of its statements; here each order gives the
+    spans of all of them, and its shuffle serves the last numbering too."""
+    head, rest = SPANS_SQL.split("spans AS (", 1)
+    body, tail = rest.rsplit(")\nSELECT", 1)
+    branches = [_BRANCH.fullmatch(b.strip()) for b in body.split("UNION ALL")]
+    each = ", ".join(f"CASE WHEN {b['when'] or 'true'} THEN struct(CAST({b['st']} AS BIGINT) AS st, {b['label']} AS label, {b['txt']} AS txt) END" for b in branches)
+    return frame(spark, sf_dir, f"{head}spans AS (SELECT d, x.st, x.label, x.txt FROM (SELECT d, explode(array({each})) AS x FROM e) WHERE x IS NOT NULL)\nSELECT{tail}")
+
+
 def span_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, spans in order."""
     rows = frame(spark, sf_dir, SPANS_SQL)
