@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 REQUIRED_RULES = ("COMPANY", "TITLE", "SKILL", "CERT", "DATE", "EMAIL")
@@ -80,6 +81,10 @@ class Config:
     rules: dict[str, Rule]
     companies: tuple[str, ...] = ()
 
+    @cached_property
+    def company_set(self) -> frozenset[str]:
+        return frozenset(self.companies)
+
     def rule(self, label: str) -> Rule:
         return self.rules.get(label, Rule())
 

@@ -1,20 +1,23 @@
-"""Arrow passes: what plain functions make of texts, as rows or as arrays."""
+"""Arrow passes: what plain functions make of texts, as rows of spans or as parts of records."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from dossier.config import Config
 from dossier.operators.plain import Span, cleaner
-from dossier.schema import SPANS
+from dossier.schema import EDUCATION, EXPERIENCE
 
 #: Rows of texts in a batch, and of spans in a batch that is given back. Texts may be long.
 TEXTS, ROWS = 512, 1 << 16
-_SPAN = pa.struct([("label", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("bio", pa.string()), ("score", pa.float64())])
+_TEXTS = lambda *names: pa.struct([(n, pa.string()) for n in names])
+_PARTS = {
+    "personal": _TEXTS("name", "email", "phone", "location"), "experience": pa.list_(_TEXTS("title", "company", "start_date", "end_date")), "education": pa.list_(_TEXTS("degree", "field", "institution")),
+    "skills": pa.list_(pa.string()), "certifications": pa.list_(pa.string()), "experience_years": pa.int32(),
+}
 _ROW = (("label", pa.string()), ("text", pa.string()), ("start_off", pa.int32()), ("end_off", pa.int32()))
 
 #: Made once for each task: from a text to its spans, of which those whose text is null are left out of rows.
@@ -59,25 +62,23 @@ def span_rows(df: DataFrame, maker: Maker) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pos int, label string, text string, start_off int, end_off int")
 
 
-def with_spans(df: DataFrame, maker: Maker) -> DataFrame:
-    """Adds `spans`, the array of those made of `text`; rows of null texts go, and those for which None is made."""
-    schema = df.schema
+def with_parts(df: DataFrame, maker: Callable[[], Callable[[str, str], dict | None]]) -> DataFrame:
+    """Adds the parts of a record that are made of `text` and `raw_text`; `text` goes, and so do rows of null texts and those for
+    which None is made."""
+    rest = [f for f in df.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = maker()
         for batch in batches:
-            made = [make(x.as_py()) if x.is_valid else None for x in batch.column("text")]
-            kept = batch.filter(pa.array([m is not None for m in made], pa.bool_()))
-            made = [m for m in made if m is not None]
-            flat = list(chain.from_iterable(made))
-            values = pa.StructArray.from_arrays([pa.array([s[i] for s in flat], f.type) for i, f in enumerate(_SPAN)], fields=list(_SPAN))
-            ends = [0]
-            for m in made:
-                ends.append(ends[-1] + len(m))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[*kept.schema.names, "spans"])
+            made = [make(x, y) if x is not None else None for x, y in zip(batch.column("text").to_pylist(), batch.column("raw_text").to_pylist(), strict=True)]
+            kept = batch.filter(pa.array([m is not None for m in made], pa.bool_())).select(names)
+            parts = [pa.array([m[n] for m in made if m is not None], kind) for n, kind in _PARTS.items()]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *parts], names=[*names, *_PARTS])
 
+    names = [f.name for f in rest]
     _short_batches(df)
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), f"spans {SPANS}"]))
+    parts = f"personal struct<name:string,email:string,phone:string,location:string>, experience array<{EXPERIENCE}>, education array<{EDUCATION}>, skills array<string>, certifications array<string>, experience_years int"
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), parts]))
 
 
 def clean_rows(df: DataFrame, config: Config) -> DataFrame:

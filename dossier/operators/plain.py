@@ -35,7 +35,7 @@ def cleaner(config: Config) -> Clean:
     email, company = config.rule("EMAIL"), config.rule("COMPANY")
     prefixes = [re.compile(rf"(?i)\A{re.escape(p)}{_WS}*") for p in email.strip_prefixes]
     rejected = [p.lower() for p in email.reject_patterns]
-    companies = frozenset(config.companies)
+    companies = config.company_set
     lists = {name: (frozenset(e.lower() for e in rule.exceptions), frozenset(w.lower() for w in rule.blocked_words)) for name, rule in config.rules.items()}
     memo: dict[tuple[str | None, str | None], str | None] = {}
 
@@ -159,7 +159,7 @@ def merge_neighbours(spans: Iterable[Span], config: Config) -> list[Span]:
 
 def relabel_companies(spans: Iterable[Span], config: Config) -> list[Span]:
     """`spans.relabel_companies`."""
-    return [["COMPANY", *s[TEXT:]] if s[LABEL] == "TITLE" and s[TEXT].lower().strip(SPACES) in config.companies else s for s in spans]
+    return [["COMPANY", *s[TEXT:]] if s[LABEL] == "TITLE" and s[TEXT].lower().strip(SPACES) in config.company_set else s for s in spans]
 
 
 def strip_dates(spans: Iterable[Span], config: Config) -> list[Span]:
@@ -174,7 +174,7 @@ def split_titles(spans: Iterable[Span], config: Config) -> list[Span]:
     out: list[Span] = []
     for s in spans:
         words = s[TEXT].split(" ") if s[LABEL] == "TITLE" and config.companies else []
-        n = next((n for n in range(min(config.gazetteer_max_words, len(words)), 0, -1) if " ".join(words[:n]).lower() in config.companies), 0)
+        n = next((n for n in range(min(config.gazetteer_max_words, len(words)), 0, -1) if " ".join(words[:n]).lower() in config.company_set), 0)
         if n:
             rest = " ".join(words[n:])
             out.append(["COMPANY", " ".join(words[:n]), *s[START:]])

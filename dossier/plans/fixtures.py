@@ -105,13 +105,13 @@ def duck(sql: str) -> str:
     return _filled(sql, "duckdb")
 
 
-def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A fixture as a DataFrame over a folder's tables."""
+def frame(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """A fixture as a DataFrame over a folder's tables, or those that are given."""
     sql = _filled(sql, "spark")
     used = [t for t in ("documents", "orders", "customer") if f"FROM {t}" in sql]
     for t in used:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(sql, **{t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 COMPANIES = ("Borealis", "Cedar", "Cedar Labs")

@@ -65,6 +65,11 @@ def records(df: DataFrame, config: Config, as_of: Column | None = None, with_sco
         assemble.education(spans, config).alias("education"), F.transform(assemble.skills(spans, config), lambda x: clean_spaces(x, config)).alias("skills"),
         assemble.certifications(spans, config).alias("certifications")))
     years = settle(parts.withColumn("experience_years", infer.experience_years(F.col("experience"), config, F.current_date() if as_of is None else as_of)))
+    return inferred(years, config, with_score)
+
+
+def inferred(years: DataFrame, config: Config, with_score: bool = True) -> DataFrame:
+    """Records of their assembled parts and years: seniority, country and score added."""
     out = settle(years.withColumn("seniority", infer.seniority(F.col("experience"), F.col("experience_years"), config)).withColumn("country", infer.country(F.col("personal.location"), F.col("personal.phone"), config)))
     if with_score:
         out = settle(out.withColumn("ats", score(F.col("personal"), F.col("experience"), F.col("education"), F.col("skills"), F.col("certifications"), F.col("experience_years"), F.col("raw_text"))))
